@@ -39,9 +39,9 @@ def hot_keys(
     """
     found = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > min_rows)
-        .orderBy(F.desc("n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > min_rows)
+        .orderBy(F.desc("_n"))
         .limit(max_keys)
         .select(*keys)
     )
@@ -220,17 +220,17 @@ def kth_row(df: DataFrame, levels: list[tuple[str, bool]], tie: str, k: int):
     for column, ascending in levels:
         side = F.col(column).asc() if ascending else F.col(column).desc()
         # One row per distinct level value.
-        counts = rest.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        counts = rest.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
         upto = Window.orderBy(side).rowsBetween(Window.unboundedPreceding, 0)
         hit = (
-            counts.withColumn("upto", F.sum("n").over(upto))
-            .where(F.col("upto") >= k)
-            .orderBy("upto")
+            counts.withColumn("_upto", F.sum("_n").over(upto))
+            .where(F.col("_upto") >= k)
+            .orderBy("_upto")
             .first()
         )
         if hit is None:
             return None
-        k -= hit["upto"] - hit["n"]
+        k -= hit["_upto"] - hit["_n"]
         found[column] = hit[column]
         rest = rest.where(F.col(column).eqNullSafe(F.lit(hit[column])))
     cut = range_blocks(rest.select(tie), [tie])
