@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 # Whitespace as Python's str.strip and str.split see it; Java's \s is ASCII only.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
+    "       　"
+)
+SPACE = r"(?U)[\s\x1c-\x1f]"
 
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy",
@@ -40,7 +44,7 @@ def from_money(column: Column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(column, F.lit(WHITESPACE))
 
 
 def tokens(column: Column) -> Column:

@@ -44,7 +44,7 @@ def chunk_documents(
     paragraphs = F.when(
         F.length("body") > size, F.split("body", quoted(paragraph_mark), -1)
     ).otherwise(F.array("body"))
-    sections = sections.where(F.col("body") != "").withColumn("paragraphs", paragraphs)
+    sections = sections.withColumn("paragraphs", paragraphs)
 
     start = F.struct(
         F.array(F.lit(0)).alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("at")
@@ -63,19 +63,25 @@ def chunk_documents(
         )
 
     starts = F.aggregate("paragraphs", start, place, lambda state: state["starts"])
-    cut = sections.withColumn("starts", starts).select(
-        "source", "section_no", "paragraphs", "starts",
-        "body", F.posexplode("starts").alias("part_no", "first"),
+    sections = sections.withColumn("starts", starts)
+
+    def packed(first: Column, part: Column) -> Column:
+        following = F.try_element_at("starts", part + 2)
+        count = F.coalesce(following, F.size("paragraphs")) - first
+        joined = strip(F.array_join(F.slice("paragraphs", first + 1, count), paragraph_mark))
+        return F.struct(joined.alias("text"), following.isNull().alias("last"))
+
+    # Texts are cut before the explode, so no row carries the whole section. The outer
+    # form keeps Spark from adding a filter that would compute the texts twice.
+    whole = F.array(F.struct(F.col("body").alias("text"), F.lit(True).alias("last")))
+    texts = F.when(F.length("body") > size, F.transform("starts", packed)).otherwise(whole)
+    chunks = (
+        sections.select("source", "section_no", texts.alias("texts"))
+        .select("source", "section_no", F.posexplode_outer("texts").alias("part_no", "chunk"))
+        .select("source", "section_no", "part_no", "chunk.text", "chunk.last")
     )
-    following = F.try_element_at("starts", F.col("part_no") + 2)
-    count = F.coalesce(following, F.size("paragraphs")) - F.col("first")
-    packed = strip(F.array_join(F.slice("paragraphs", F.col("first") + 1, count), paragraph_mark))
-    text = F.when(F.length("body") > size, packed).otherwise(F.col("body"))
-    last = following.isNull()
-    chunks = cut.select(
-        "source", "section_no", "part_no", text.alias("text"), last.alias("is_last")
-    ).where(~F.col("is_last") | (F.col("text") != ""))
-    return chunks.select(
+    # A blank chunk stays only between two others.
+    return chunks.where((F.col("text") != "") | ~F.col("last")).select(
         "source",
         "section_no",
         "part_no",
@@ -96,9 +102,12 @@ class LexicalIndex:
 
 def postings_of(chunks: DataFrame) -> DataFrame:
     """Term counts per chunk; chunks: chunk_id, text."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
+    # Texts are spread by chunk once; the counts then need no shuffle of their own.
+    spread = chunks.select("chunk_id", "text").repartition("chunk_id")
+    words = spread.select("chunk_id", tokens(F.col("text")).alias("words"))
     return (
-        words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+        words.select("chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -123,13 +132,10 @@ def term_stats(postings: DataFrame, chunks: int, params: RetrievalParams = Retri
 
 def build_index(chunks: DataFrame, params: RetrievalParams = RetrievalParams()) -> LexicalIndex:
     """Store the index tables once; queries then read only what they need."""
-    sizes = chunks.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens(F.col("text"))).cast("bigint")).alias("words")
-    ).first()
     postings = durable(postings_of(chunks))
-    terms = durable(term_stats(postings, sizes["n"], params))
-    mean = (sizes["words"] or 0) / sizes["n"] if sizes["n"] else 0.0
-    return LexicalIndex(postings, terms, sizes["n"], mean)
+    count, words = chunks.count(), postings.agg(F.sum("tf")).first()[0]
+    terms = durable(term_stats(postings, count, params))
+    return LexicalIndex(postings, terms, count, (words or 0) / count if count else 0.0)
 
 
 def query_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:

@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own.
     """
     global _local_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
