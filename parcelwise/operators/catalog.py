@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelwise.functions.columns import from_money, ratio, yes
 from parcelwise.operators.scale import global_rank, kth_row
+from parcelwise.session import durable
 
 # Popularity exponent, marketplace boost, default return window.
 POPULARITY_ALPHA = 2.0
@@ -59,8 +60,9 @@ def price_band(products: DataFrame, bands: DataFrame) -> DataFrame:
     filled = pairs.where("in_band").groupBy("segment", "category").agg(
         F.count(F.lit(1)).alias("in_band_products")
     )
+    # At most one row per band, and bands are parameters.
     return (
-        pairs.join(filled, ["segment", "category"], "left")
+        pairs.join(F.broadcast(filled), ["segment", "category"], "left")
         .withColumn("relaxed", yes(F.col("in_band_products").isNull()))
         .where(F.col("in_band") | (F.col("relaxed") == 1))
         .select("segment", "category", "product_id", "price", "relaxed")
@@ -68,9 +70,9 @@ def price_band(products: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def normalised(df: DataFrame, group: str, weight: str, output: str) -> DataFrame:
-    """Weight divided by the group's total. The totals are a small aggregate, so a
-    group with very many rows is never gathered."""
-    totals = df.groupBy(group).agg(F.sum(weight).alias("_total"))
+    """Weight divided by the group's total. Totals are combined before they move, and
+    stored, so that the join is a broadcast only when the groups are few."""
+    totals = durable(df.groupBy(group).agg(F.sum(weight).alias("_total")))
     return df.join(totals, group).withColumn(output, ratio(F.col(weight), F.col("_total"))).drop(
         "_total"
     )
@@ -130,6 +132,7 @@ def apportion(df: DataFrame, key: str, weight: str, total: int, output: str) ->
     What rounding leaves over is added to (or taken from) the largest rows, one
     each; rows tie by key. Halves round to even.
     """
+    df = durable(df)
     weights = df.agg(F.sum(F.col(weight).cast("bigint"))).first()[0]
     if not weights:
         return df.withColumn(output, F.lit(None).cast("bigint"))

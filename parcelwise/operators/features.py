@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelwise.config import (
     ALL_FEATURES, CATEGORICAL_FEATURES, CATEGORY_DEFECT_RATE, POSITIVE_LABELS,
@@ -71,6 +71,7 @@ def history_features(
             "past_returns_count": F.lit(1).cast("bigint"),
             "past_value_e4": money(F.col("order_value")),
             "past_weekend": F.col("is_weekend_return").cast("bigint"),
+            "past_fraud": confirmed_fraud(df).cast("bigint"),
         },
         lasts={
             "prev_return_date": F.col("return_request_date"),
@@ -126,15 +127,21 @@ def history_features(
     return t.result().drop("past_30", "past_90", "past_with_seller", "past_high", "past_same", "past_weekend")
 
 
+def confirmed_fraud(df: DataFrame) -> Column:
+    """1 for a positive label; 0 otherwise, and where there is no label column."""
+    if "label" not in df.columns:
+        return F.lit(0)
+    return yes(F.lower(F.trim(F.col("label"))).isin(*POSITIVE_LABELS))
+
+
 def with_flags(df: DataFrame) -> DataFrame:
     verify = (
         (F.col("order_value_ratio") > 2.0)
         & (F.col("image_uploaded") == 0)
         & (F.col("return_to_order_ratio") > 0.3)
     )
-    positive = F.lower(F.trim(F.col("label"))).isin(*POSITIVE_LABELS)
     return df.withColumns(
-        {"requires_manual_verification": yes(verify), "target": yes(positive)}
+        {"requires_manual_verification": yes(verify), "target": confirmed_fraud(df)}
     )
 
 

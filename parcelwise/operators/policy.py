@@ -105,7 +105,7 @@ def trusted_account(p: PolicyParams = PolicyParams()) -> Column:
         [
             F.col("account_age_days") > p.trusted_age_days,
             F.col("return_to_order_ratio") < p.trusted_ratio,
-            F.col("prior_fraud") == 0,
+            F.col("past_fraud") == 0,
             F.col("order_value") < p.trusted_value,
         ]
     )
@@ -137,14 +137,6 @@ def boundary_escalation(p: PolicyParams = PolicyParams()) -> Column:
     return yes(all_of([late_by_one, trusted_account(p)]))
 
 
-def prior_fraud(df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Add the number of earlier returns of the user labelled fraud."""
-    order = ["return_request_date", "order_date", "return_id"]
-    t = Timeline.of(df, ["user_id"], order, order[:2], hot)
-    flag = yes(F.col("label") == "fraud").cast("bigint")
-    return t.before(sums={"prior_fraud": flag}).result()
-
-
 def same_item_burst(df: DataFrame, p: PolicyParams = PolicyParams()) -> DataFrame:
     """Returned units of one high-value product by one user in a short window.
 

@@ -8,19 +8,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelwise.functions.columns import ratio, yes
 from parcelwise.operators.scale import range_blocks, running_total
+from parcelwise.session import durable
 
 # Right-closed age bins.
 AGE_BINS = [(180, "new"), (730, "mid"), (9999, "veteran")]
 
 
+def with_share(counts: DataFrame, n: str) -> DataFrame:
+    """Add each group's share. The total sums the same grouped counts, so Spark reuses
+    their shuffle instead of reading the rows again."""
+    total = counts.agg(F.sum(n)).scalar()
+    return counts.withColumn("share", ratio(F.col(n), total))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    total = df.where(F.col(column).isNotNull()).select(F.count(F.lit(1))).scalar()
-    return (
+    """Rows per value and their share of all rows with a value."""
+    counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("string").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("share", ratio(F.col("n"), total))
     )
+    return with_share(counts, "n")
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
@@ -35,8 +43,11 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = running_total(range_blocks(counts, [group, "v"]), [group, "v"], {"upto": F.col("n")})
-    sizes = ranked.groupBy(group).agg(
-        F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("start")
+    # Stored, so that the join below is a broadcast only when the groups are few.
+    sizes = durable(
+        ranked.groupBy(group).agg(
+            F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("start")
+        )
     )
     at = sizes.select(
         group, "start", "size", F.explode(F.lit([float(p) for p in points])).alias("point")
@@ -88,14 +99,10 @@ def group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def rate_by_type(df: DataFrame, group: str, hit: Column) -> DataFrame:
     """Count, share of rows and rate of hits per type."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(yes(hit).cast("bigint")).alias("hits"))
-        .withColumns(
-            {"share": ratio(F.col("n"), total), "rate": ratio(F.col("hits"), F.col("n"))}
-        )
+    counts = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(yes(hit).cast("bigint")).alias("hits")
     )
+    return with_share(counts, "n").withColumn("rate", ratio(F.col("hits"), F.col("n")))
 
 
 def verdict_summary(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelwise.config import RULE_NAMES, RuleParams, WARDROBE_CATEGORIES, WARDROBE_REASONS
 from parcelwise.functions.columns import all_of, nan_to_null, percent_text, ratio
@@ -160,14 +160,21 @@ def rule_hits(scored: DataFrame) -> DataFrame:
 
 
 def rule_summary(scored: DataFrame) -> DataFrame:
-    """How many cases each rule fired on, and its share of all cases."""
-    total = scored.select(F.count(F.lit(1))).scalar()
-    return (
-        rule_hits(scored)
+    """How many cases each rule fired on, and its share of all cases.
+
+    Every case adds one mark besides its hits, so the total comes from the same pass.
+    """
+    marks = F.concat(
+        F.array(F.lit("")), F.transform("triggered_rules", lambda h: h["rule_id"])
+    )
+    counts = (
+        scored.select(F.explode(marks).alias("rule_id"))
         .groupBy("rule_id")
         .agg(F.count(F.lit(1)).alias("cases"))
-        .withColumn("share", ratio(F.col("cases"), total))
     )
+    # One row per rule.
+    total = F.max(F.when(F.col("rule_id") == "", F.col("cases"))).over(Window.partitionBy())
+    return counts.withColumn("share", ratio(F.col("cases"), total)).where("rule_id <> ''")
 
 
 def fired(rule_id: str) -> Column:

@@ -196,7 +196,8 @@ def running_total(blocked: DataFrame, order: list, sums: dict[str, Column]) -> D
     offsets = per_block.select(
         BLOCK, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums]
     )
-    joined = inner.join(offsets, BLOCK)
+    # As many rows as range partitions.
+    joined = inner.join(F.broadcast(offsets), BLOCK)
     return joined.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop(
         BLOCK, *[f"_b_{n}" for n in sums]
     )

@@ -65,7 +65,7 @@ def signals(m: Mart) -> DataFrame:
 
 
 def decided(m: Mart) -> DataFrame:
-    return triage.decide_cases(signals(m), m.hot_users)
+    return triage.decide_cases(signals(m))
 
 
 def risk():
@@ -519,7 +519,7 @@ def deciding_signal(m):
 
 @query
 def trusted_override(m):
-    return decided(m).select("return_id", "prior_fraud", "trusted_override")
+    return decided(m).select("return_id", F.col("past_fraud").alias("prior_fraud"), "trusted_override")
 
 
 @query
@@ -588,7 +588,8 @@ def audit_check(m):
 
 @query
 def case_dossier(m):
-    return documented(m).select("return_id", texts.dossier_text(documented(m)).alias("dossier"))
+    rows = documented(m)
+    return rows.select("return_id", texts.dossier_text(rows).alias("dossier"))
 
 
 @query

@@ -8,7 +8,7 @@ from parcelwise.config import PolicyParams, RuleParams, ScoringParams
 from parcelwise.functions.columns import yes
 from parcelwise.operators.features import full_features
 from parcelwise.operators.policy import (
-    boundary_escalation, decide, deciding_signal, prior_fraud, risk_band, trusted_override,
+    boundary_escalation, decide, deciding_signal, risk_band, trusted_override,
 )
 from parcelwise.operators.rules import fired, with_rules
 from parcelwise.operators.scoring import combined_score
@@ -70,13 +70,11 @@ def with_signals(df: DataFrame, confidence: Column) -> DataFrame:
 
 def decide_cases(
     df: DataFrame,
-    hot: DataFrame | None = None,
     policy: PolicyParams = PolicyParams(),
     scoring: ScoringParams = ScoringParams(),
 ) -> DataFrame:
     """Verdict, band, deciding signal and overrides for cases with signals."""
-    df = decide(prior_fraud(df, hot), policy)
-    return df.withColumns(
+    return decide(df, policy).withColumns(
         {
             "combined_score": combined_score(F.col("risk_score"), F.col("rule_score"), scoring),
             "risk_band": risk_band(F.col("risk_score"), policy),

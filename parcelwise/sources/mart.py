@@ -260,7 +260,9 @@ class Mart:
 
 def scored_requests(mart: Mart) -> DataFrame:
     """Requests with their state at the time, the additive fraud score and the label."""
-    rows = return_state(as_of_state(mart.requests, mart.orders), mart.hot_users)
+    # A request follows its order by 2 to 7 days of delivery and at most 13 more days.
+    walked = return_state(mart.requests, mart.hot_users, check_lags=False)
+    rows = as_of_state(walked, mart.orders)
     users = mart.users.select("user_id", "account_age_days", "email_verified", "shared_device_flag")
     joined = (
         rows.join(users, "user_id", "left")

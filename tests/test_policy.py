@@ -65,7 +65,7 @@ def test_deciding_signal(spark, change, signal):
 
 
 TRUSTED = dict(
-    account_age_days=1096, return_to_order_ratio=0.049, prior_fraud=0, order_value=9999.99, text_flag=1,
+    account_age_days=1096, return_to_order_ratio=0.049, past_fraud=0, order_value=9999.99, text_flag=1,
     behaviour_flags=0, risk_score=0.29, r1=0, r3=0, r4=0, days_since_delivered=8, return_window_days=7,
 )
 
@@ -74,7 +74,7 @@ TRUSTED = dict(
     "change, allowed",
     [
         ({}, 1), ({"account_age_days": 1095}, 0), ({"return_to_order_ratio": 0.05}, 0),
-        ({"prior_fraud": 1}, 0), ({"order_value": 10000.0}, 0), ({"risk_score": 0.30}, 0),
+        ({"past_fraud": 1}, 0), ({"order_value": 10000.0}, 0), ({"risk_score": 0.30}, 0),
         ({"r1": 1}, 0), ({"r3": 1}, 0), ({"r4": 1}, 0), ({"behaviour_flags": 1}, 0), ({"text_flag": 0}, 0),
     ],
 )
@@ -84,7 +84,7 @@ def test_trusted_override(spark, change, allowed):
 
 
 @pytest.mark.parametrize(
-    "change, late", [({}, 1), ({"days_since_delivered": 7}, 0), ({"days_since_delivered": 9}, 0), ({"prior_fraud": 2}, 0)]
+    "change, late", [({}, 1), ({"days_since_delivered": 7}, 0), ({"days_since_delivered": 9}, 0), ({"past_fraud": 2}, 0)]
 )
 def test_one_day_late(spark, change, late):
     df = spark.createDataFrame([{**TRUSTED, **change}])
