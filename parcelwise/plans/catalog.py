@@ -331,7 +331,9 @@ def fraud_score(m):
 def calibrated_threshold(m):
     found = scoring.calibrate_threshold(m.scored, "fraud_score")
     share = F.avg(scoring.fraud_probability(F.col("fraud_score"), F.lit(found)))
-    return m.scored.agg(share.alias("mean_probability")).withColumn("threshold", F.lit(found))
+    return m.scored.agg(F.round(share, 6).alias("mean_probability")).withColumn(
+        "threshold", F.round(F.lit(found), 6)
+    )
 
 
 @query

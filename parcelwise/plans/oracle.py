@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 
 from parcelwise.config import (
-    ALL_FEATURES, CATEGORY_DEFECT_RATE, FRAUD_SCORE_NORMALIZATION as N, FRAUD_SCORE_WEIGHTS as W,
-    PROBE_TARGETS, RULE_WEIGHTS,
+    ALL_FEATURES, CATEGORICAL_FEATURES, CATEGORY_DEFECT_RATE, NUMERIC_FEATURES,
+    FRAUD_SCORE_NORMALIZATION as N,
+    FRAUD_SCORE_WEIGHTS as W, PROBE_TARGETS, RULE_WEIGHTS,
 )
+from parcelwise.functions.columns import WHITESPACE
 from parcelwise.sources.mart import (
     CATEGORIES, CATEGORY_OF_TYPE, FRAUD_TYPES, LABEL_THRESHOLD, LONG_WINDOW, REASONS, SELLER_TYPES,
 )
@@ -325,6 +327,7 @@ seller_registration_date, category_base_defect, total_orders_at_time, total_retu
 fraud_type, label"""
 
 B = "AS BIGINT)"
+SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
 
 def _orphans(name: str, child: str, parent: str, key: str) -> str:
@@ -568,8 +571,27 @@ FROM m_requests""",
     "term_stats": f"SELECT term, CAST(df {B} AS df, round(idf, 6) AS idf FROM m_terms",
     "bm25_topk": "SELECT query_id, chunk_id, score, rank FROM m_bm25",
     "vector_topk": f"SELECT CAST(query_id {B} AS query_id, chunk_id, score, rank FROM m_near",
-    "rrf_fuse": f"""
-SELECT query_id, chunk_id, round(fused, 5) AS rrf_score, rank FROM (
+    "policy_context": f"""
+SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+  CAST(count(*) {B} AS passages FROM m_fused JOIN documents ON doc_id = chunk_id GROUP BY 1""",
+    "chunk_documents": f"""
+SELECT source, CAST(0 {B} AS section_no, part_no, text, left(split_part(text, chr(10), 1), 80) AS section FROM (
+  SELECT source, CAST(part_no {B} AS part_no, trim(string_agg(p, chr(10) ORDER BY i), {SPACES}) AS text,
+    part_no = max(part_no) OVER (PARTITION BY source) AS last
+  FROM m_packed JOIN m_paragraphs USING (source, i) GROUP BY 1, 2, m_packed.part_no
+  UNION ALL SELECT source, CAST(0 {B}, body, true FROM m_bodies WHERE length(body) <= 500)
+WHERE text <> '' OR NOT last""",
+    "calibrated_threshold": f"""
+SELECT round((SELECT avg({_sigmoid('(fraud_score - (low + high) / 2) / ' + d(0.9))}) FROM m_scored), 6) AS mean_probability,
+  round((low + high) / 2, 6) AS threshold FROM m_step9""",
+    "feature_matrix": f"""
+SELECT return_id, category AS category_str, reason_category AS reason_category_str, return_type AS return_type_str,
+  {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in NUMERIC_FEATURES)},
+  {', '.join(f"CAST(CASE WHEN {c} IN (SELECT {c} FROM m_train) THEN (SELECT count(DISTINCT t.{c}) FROM m_train t WHERE t.{c} < f.{c}) ELSE -1 END AS FLOAT) AS {c}" for c in CATEGORICAL_FEATURES)},
+  target, split FROM m_features f JOIN (SELECT return_id, split FROM m_split) USING (return_id)""",
+    "rrf_fuse": "SELECT query_id, chunk_id, round(fused, 5) AS rrf_score, rank FROM m_fused",
+    "_fused": f"""
+SELECT query_id, chunk_id, fused, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, lexical_rank NULLS LAST, chunk_id) AS rank FROM (
     SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS lexical_rank,
       coalesce(CAST(1 AS DOUBLE) / (60 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rank), 0) AS fused
@@ -584,6 +606,29 @@ SELECT return_id, category || ' ' || reason_category || ' ' || return_type || '
     || ' policy' AS policy_query
 FROM m_star""",
 }
+CTES["m_fused"] = RAW.pop("_fused")
+CTES["m_train"] = """
+SELECT category, reason_category, return_type FROM m_requests JOIN m_split USING (return_id) WHERE split = 'train'"""
+CTES["m_bodies"] = f"SELECT doc_id AS source, trim(text, {SPACES}) AS body FROM documents"
+CTES["m_paragraphs"] = """
+SELECT source, unnest(string_split(body, chr(10))) AS p, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS i
+FROM m_bodies WHERE length(body) > 500"""
+CTES["m_packed"] = """
+WITH RECURSIVE walk(source, i, part_no, used) AS (
+  SELECT source, i, 0, length(p) FROM m_paragraphs WHERE i = 0
+  UNION ALL
+  SELECT w.source, w.i + 1, CASE WHEN w.used > 0 AND w.used + length(p) > 500 THEN part_no + 1 ELSE part_no END,
+    CASE WHEN w.used = 0 OR w.used + length(p) > 500 THEN length(p) ELSE w.used + 1 + length(p) END
+  FROM walk w JOIN m_paragraphs q ON q.source = w.source AND q.i = w.i + 1)
+SELECT * FROM walk"""
+CTES["m_step0"] = f"SELECT {d(-20.0)} AS low, {d(40.0)} AS high"
+for step in range(1, 10):
+    # Each step keeps the one of 64 parts of the interval in which the mean passes the target.
+    CTES[f"m_step{step}"] = f"""
+SELECT low + above * (high - low) / 64 AS low, low + (above + 1) * (high - low) / 64 AS high FROM m_step{step - 1}, (
+  SELECT count(*) AS above FROM (
+    SELECT i, avg({_sigmoid('(fraud_score - (low + (high - low) * i / 64)) / ' + d(0.9))}) AS mean
+    FROM m_scored, m_step{step - 1}, range(1, 64) AS r(i) GROUP BY 1) WHERE mean > {d(0.4)})"""
 CTES["m_daily"] = f"""
 SELECT user_id, product_id, return_request_date, CAST(count(*) {B} AS units FROM m_requests
 WHERE order_value > 10000 GROUP BY 1, 2, 3"""
