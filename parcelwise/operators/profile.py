@@ -89,6 +89,11 @@ def describe_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     return stats.join(wide, group, "left")
 
 
+def describe(df: DataFrame, value: str) -> DataFrame:
+    """The same summary of the whole table."""
+    return describe_by_group(df.withColumn("_all", F.lit(1)), "_all", value).drop("_all")
+
+
 def group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     return (
         df.groupBy(group)

@@ -8,12 +8,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelwise.config import RetrievalParams
 from parcelwise.functions.columns import strip, tokens
 from parcelwise.operators.scale import top_n
-from parcelwise.session import durable
+from parcelwise.session import durable, small_table
 
 
 def chunk_documents(
@@ -138,6 +138,22 @@ def build_index(chunks: DataFrame, params: RetrievalParams = RetrievalParams())
     return LexicalIndex(postings, terms, count, (words or 0) / count if count else 0.0)
 
 
+def save_index(index: LexicalIndex, path: str) -> None:
+    """Write the index tables and figures as one folder."""
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    figures = {"chunks": [index.chunks], "mean_length": [float(index.mean_length)]}
+    small_table(index.terms.sparkSession, figures).write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    figures = spark.read.parquet(f"{path}/figures").first()
+    return LexicalIndex(
+        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
+        figures["chunks"], figures["mean_length"],
+    )
+
+
 def query_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     """Query words with their counts and idf, stored so that Spark knows the size and
     picks the join with the postings accordingly."""

@@ -97,11 +97,14 @@ class Timeline:
             if _HOT not in df.columns:
                 marked = hot.withColumn(_HOT, F.lit(True))
                 df = df.join(F.broadcast(marked), list(keys), "left")
-            df = df.withColumns({f"_cut_{c}": F.when(F.col(_HOT), F.col(c)) for c in cut})
+            # Stored once: the block totals below read the hot rows of it again.
+            df = durable(df.withColumns({f"_cut_{c}": F.when(F.col(_HOT), F.col(c)) for c in cut}))
         return cls(df, tuple(keys), tuple(order), tuple(cut), hot is not None)
 
     def _cuts(self) -> list[str]:
-        return [f"_cut_{c}" for c in self.cut] if self.hot else []
+        # The hot mark is a partition column too, so that a filter on it passes below
+        # the windows.
+        return [_HOT, *[f"_cut_{c}" for c in self.cut]] if self.hot else []
 
     def before(
         self,
@@ -152,12 +155,12 @@ class Timeline:
             .groupBy(*keys, *cuts)
             .agg(F.count(F.lit(1)).alias("_n"), *totals)
         )
-        block = Window.partitionBy(*keys).orderBy(*cuts)
+        block = Window.partitionBy(*keys).orderBy(*cuts[1:])
         earlier = block.rowsBetween(Window.unboundedPreceding, -1)
         carried = [F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums]
         carried += [F.lag(f"_l_{n}").over(block).alias(f"_c_{n}") for n in lasts]
         carried += [
-            _days_back("sum(_n)", keys, cuts[0], k).alias(f"_c_{n}") for n, k in until.items()
+            _days_back("sum(_n)", keys, cuts[1], k).alias(f"_c_{n}") for n, k in until.items()
         ]
         return blocks.select(*keys, *cuts, *carried)
 

@@ -17,6 +17,7 @@ SESSION_CONF = {
 }
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def local_session(cpus: int | str = "*", memory: str = "16g", **conf) -> SparkSession:
@@ -61,10 +62,19 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcelwise-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables `durable` wrote in this process. Frames that read them end too."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     """A constant table. From Arrow it becomes a local relation, whose known size
     lets Spark broadcast it without a hint."""

@@ -69,6 +69,12 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose(got[ours].sort_index(), want[theirs].sort_index())
 
 
+def test_describe_whole_table(spark):
+    df = spark.range(1, 101).selectExpr("id * 2 as v")
+    row = profile.describe(df, "v").first()
+    assert (row["count"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]) == (100, 2, 51.5, 101, 150.5, 200)
+
+
 def test_bins_are_right_closed(spark):
     df = spark.createDataFrame([(v,) for v in (0, 1, 180, 181, 730, 731, 9999, 10000)], "v int")
     got = [r[0] for r in df.select(profile.bin_label(F.col("v"))).collect()]

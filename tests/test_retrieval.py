@@ -104,6 +104,13 @@ def test_bm25(spark, index):
         assert got.get(q, []) == want
 
 
+def test_index_survives_saving(spark, index, tmp_path):
+    retrieval.save_index(index, str(tmp_path))
+    again = retrieval.load_index(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, "refund policy")], "query_id long, query string")
+    assert retrieval.bm25_topk(df, again).collect() == retrieval.bm25_topk(df, index).collect()
+
+
 def test_zero_scores_fill_only_on_request(spark, index):
     df = spark.createDataFrame([(3, "unknown")], "query_id long, query string")
     chunks = spark.createDataFrame([(i,) for i, _ in CORPUS], "chunk_id long")
