@@ -19,6 +19,7 @@ from parcelwise.plans import backlog, triage
 from parcelwise.session import durable, shared_dir, small_table
 from parcelwise.sources import tables as scans
 from parcelwise.sources.mart import CATEGORIES, Mart, mart
+from parcelwise.sources.schema import DECISION_LOG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -599,7 +600,22 @@ def audit_log(m):
     rows = documented(m).withColumn("confidence", F.col("confidence").cast("string"))
     fields = triage.case_record_fields(rows)
     records = texts.audit_record(rows, fields, F.lit("2024-01-01 00:00:00"))
-    return records.select("return_id", F.to_json(F.struct("*")).alias("record"))
+    # Written as JSON and read back, as the log is.
+    line = F.to_json(F.struct("*"))
+    back = records.select(F.from_json(line, DECISION_LOG).alias("r")).select("r.*")
+    case = F.col("inputs.case_data")
+    return back.select(
+        "timestamp",
+        "return_id",
+        F.get_json_object(case, "$.category").alias("category"),
+        F.get_json_object(case, "$.order_date").alias("order_date"),
+        F.get_json_object(case, "$.order_value").cast("double").alias("order_value"),
+        "inputs.rule_score",
+        F.array_join("inputs.triggered_rules.rule_id", ",").alias("rules"),
+        "outputs.verdict",
+        F.col("outputs.confidence").cast("double").alias("confidence"),
+        F.col("outputs.reasoning_chain").alias("reasoning"),
+    )
 
 
 @query

@@ -341,6 +341,54 @@ def _duplicates(name: str, table: str, key: str) -> str:
     return f"SELECT '{name}' AS \"check\", CAST(count(*) - count(DISTINCT {key}) {B} AS violations FROM {table}"
 
 
+SIGNAL = """CASE WHEN policy_violation THEN 'policy' WHEN hard_signals > 0 THEN 'metadata' WHEN risk_score >= 0.3 THEN 'model'
+  WHEN evidence_missing OR evidence_inconsistent THEN 'evidence' WHEN behaviour_flags > 0 THEN 'behaviour'
+  WHEN text_flag THEN 'text' ELSE 'none' END"""
+# Two digits of a fraction of whole numbers, halves up.
+HUNDREDTHS = "(200 * total_returns_at_time + greatest(total_orders_at_time, 1)) // (2 * greatest(total_orders_at_time, 1))"
+
+
+def _yes(column: str) -> str:
+    return f"CASE WHEN {column} <> 0 THEN 'Yes' ELSE 'No' END"
+
+
+DOSSIER = " || chr(10) || ".join(
+    [
+        "'[Case Summary]'",
+        "'- Return ID: ' || return_id",
+        "'- User ID: ' || user_id",
+        "'- Category: ' || category",
+        "'- Product Price: ' || format('{:,.0f}', price)",
+        "'- Order Value: ' || format('{:,.0f}', order_value)",
+        "'- Discount: ' || format('{:.1f}', discount_pct) || '%'",
+        f"'- Prepaid Order: ' || {_yes('is_prepaid')}",
+        "'- Return Reason: ' || reason_category",
+        "'- Return Type: ' || return_type",
+        f"'- Image Uploaded: ' || {_yes('image_uploaded')}",
+        f"'- Within Return Window: ' || {_yes('within_return_window')}",
+        "'- Days Left to Return: ' || days_left_to_return",
+        "'- Days Since Delivered: ' || days_since_delivered",
+        f"'- Product Non-Returnable Flag: ' || {_yes('is_non_returnable')}",
+        "chr(10) || '[User Profile]'",
+        "'- Account Age: ' || account_age_days || ' days'",
+        f"'- Email Verified: ' || {_yes('email_verified')}",
+        f"'- Shared Device: ' || {_yes('shared_device_flag')}",
+        "'- Total Orders: ' || total_orders_at_time",
+        "'- Total Prior Returns: ' || total_returns_at_time",
+        f"'- Return-to-Order Ratio: ' || CAST({HUNDREDTHS} // 100 AS VARCHAR) || '.' || lpad(CAST({HUNDREDTHS} % 100 AS VARCHAR), 2, '0')",
+        "'- Returns in Last 30 Days: ' || returns_last_30d",
+        "chr(10) || '[Seller Profile]'",
+        "'- Seller Rating: ' || seller_rating",
+        "'- Seller Return Rate: ' || (seller_id * 13) % 55 || '.00%'",
+        "'- Seller Age: ' || seller_age_days || ' days'",
+        "chr(10) || '[Risk Assessment]'",
+        "'- Fraud Probability: ' || format('{:.1f}', risk_score * 100) || '%'",
+        f"'- Combined Risk Score: ' || format('{{:.3f}}', {d(0.6)} * risk_score + {d(0.4)} * rule_score)",
+        "chr(10) || '[Rule Engine Results]'",
+        "'- Rules Triggered: ' || rules_triggered_count || '/13'",
+        "coalesce(lines, '  * No rules triggered.')",
+    ]
+)
 INTEGRITY_ORDERS = "(SELECT * FROM m_orders WHERE is_prepaid = 1 OR is_returned = 1)"
 INTEGRITY_RETURNS = "(SELECT return_id, order_id FROM m_requests UNION ALL SELECT return_id, order_id FROM m_requests WHERE image_uploaded = 1)"
 CLASSES = """
@@ -515,10 +563,7 @@ FROM m_decided""",
 SELECT CAST(count(*) FILTER (verdict = 'Auto-Approve') {B} AS approved, CAST(count(*) FILTER (verdict = 'Escalate') {B} AS escalated,
   CAST(count(*) FILTER (verdict = 'Auto-Reject') {B} AS rejected FROM m_verdicts""",
     "escalation_queue": "SELECT return_id, user_id, round(risk_score, 6) AS risk_score, rule_score, escalation_count FROM m_verdicts WHERE verdict = 'Escalate'",
-    "deciding_signal": """
-SELECT return_id, CASE WHEN policy_violation THEN 'policy' WHEN hard_signals > 0 THEN 'metadata' WHEN risk_score >= 0.3 THEN 'model'
-  WHEN evidence_missing OR evidence_inconsistent THEN 'evidence' WHEN behaviour_flags > 0 THEN 'behaviour'
-  WHEN text_flag THEN 'text' ELSE 'none' END AS deciding_signal FROM m_decided""",
+    "deciding_signal": f"SELECT return_id, {SIGNAL} AS deciding_signal FROM m_decided",
     "trusted_override": "SELECT return_id, prior_fraud, trusted_override FROM m_verdicts",
     "boundary_escalation": "SELECT return_id, boundary_escalation FROM m_verdicts",
     "same_item_burst": f"""
@@ -550,6 +595,16 @@ FROM (VALUES {', '.join(f"('{k}', CAST({v} AS BIGINT))" for k, v in PROBE_TARGET
 SELECT return_id, missing AS missing_fields, CAST(missing = '' {B} AS complete FROM (
   SELECT return_id, CASE product_id % 10 WHEN 1 THEN 'policy_clause' WHEN 3 THEN 'reasoning'
     WHEN 2 THEN CASE WHEN verdict = 'Escalate' THEN 'dossier' ELSE '' END ELSE '' END AS missing FROM m_final)""",
+    "audit_log": f"""
+SELECT '2024-01-01 00:00:00' AS timestamp, return_id, category, strftime(order_date, '%Y-%m-%d') AS order_date, order_value,
+  rule_score, array_to_string(ids, ',') AS rules, verdict, confidence,
+  'Decided by ' || {SIGNAL} || '; risk band ' || CASE WHEN risk_score < 0.3 THEN 'low' WHEN risk_score > 0.7 THEN 'high' ELSE 'ambiguous' END
+    || '; rules ' || CASE WHEN len(ids) = 0 THEN 'none' ELSE array_to_string(ids, ',') END || '.' AS reasoning
+FROM m_final""",
+    "case_dossier": f"""
+SELECT return_id, {DOSSIER} AS dossier FROM m_final LEFT JOIN (
+  SELECT return_id, string_agg('  * [' || rule_id || '] ' || {RULE_NAME} || ': ' || description, chr(10) ORDER BY rule_id) AS lines
+  FROM m_hits GROUP BY 1) h USING (return_id)""",
     "invalid_cases": """
 SELECT return_id, concat_ws(',', CASE WHEN product_id % 97 = 0 THEN 'no user_id' END,
   CASE WHEN seller_id % 53 = 0 THEN 'delivered before order' END, CASE WHEN product_id % 89 = 0 THEN 'no value' END) AS faults

@@ -51,7 +51,11 @@ def _position(column, values: list[str]):
 
 
 class Mart:
-    """Canonical tables over one directory of raw parquet tables."""
+    """Canonical tables over one directory of raw parquet tables.
+
+    Orders, products, sellers and scored requests are stored once per session, as the
+    operators expect stored tables: scans prune columns and sizes are known.
+    """
 
     label_threshold = LABEL_THRESHOLD
 
@@ -99,7 +103,7 @@ class Mart:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.lines.select(*self._order_columns())
+        return durable(self.lines.select(*self._order_columns()))
 
     def _order_columns(self):
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -160,7 +164,7 @@ class Mart:
         rate = F.lit(None).cast("double")
         for category in CATEGORIES:
             rate = F.when(F.col("category") == category, CATEGORY_DEFECT_RATE[category]).otherwise(rate)
-        return self._part.join(reviews, "product_id", "left").select(
+        listed = self._part.join(reviews, "product_id", "left").select(
             "product_id",
             _position(F.col("category"), CATEGORIES).alias("product_category_id"),
             "price",
@@ -171,6 +175,7 @@ class Mart:
             "return_window_days",
             rate.alias("base_defect_rate"),
         )
+        return durable(listed)
 
     @cached_property
     def seller_repeat_share(self) -> DataFrame:
@@ -202,7 +207,7 @@ class Mart:
             (1 + (key % 41).cast("double") / F.lit(10).cast("double")).alias("rating"),
             F.date_sub(F.lit("2002-01-01").cast("date"), age.cast("int")).alias("registration_date"),
         )
-        return base.join(self.seller_repeat_share, "seller_id", "left")
+        return durable(base.join(self.seller_repeat_share, "seller_id", "left"))
 
     @cached_property
     def requests(self) -> DataFrame:
