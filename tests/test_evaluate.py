@@ -94,6 +94,18 @@ def test_sample_is_stable(points):
     assert a != [r["return_id"] for r in evaluate.sample_rows(points, "return_id", 20, seed=1).collect()]
 
 
+@pytest.mark.parametrize("n", [0, 1, 57, 400, 500])
+def test_large_samples_are_exact_and_stable(points, n):
+    a = evaluate.sample_rows(points, "return_id", n, sorted_up_to=-1) if n else None
+    if n == 0:
+        assert evaluate.sample_rows(points, "return_id", 0).count() == 0
+        return
+    b = evaluate.sample_rows(points.repartition(3), "return_id", n, sorted_up_to=-1)
+    ids = {r["return_id"] for r in a.collect()}
+    assert len(ids) == a.count() == min(n, 400)
+    assert ids == {r["return_id"] for r in b.collect()}
+
+
 def test_threshold_matches_plain_bisection(spark):
     scores = np.random.default_rng(2).normal(3, 1.5, 500)
     df = spark.createDataFrame([(float(s),) for s in scores], "v double")
