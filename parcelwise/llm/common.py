@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,10 +58,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-#: A space with white space before and behind it, or a line break beside white space: the
-#: simple cuts below don't hold for such a text.
-_INNER = re.compile(r"\s (?=\s|\Z)|\s\n|\n\s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
+#: White space besides the space and the line break.
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER = re.compile(rf"[{_RARE}\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _simple(text: str) -> bool:
+    """All white space is single spaces and single line breaks."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _RARE) if text.isascii() else not _OTHER.search(text)
 
 
 def cut(text: str) -> list[tuple[str, list[str]]]:
@@ -73,7 +81,7 @@ def cut(text: str) -> list[tuple[str, list[str]]]:
     other characters is a pre-token of its own. A text with longer runs of white space
     is left as one line and cut outside of them.
     """
-    if _INNER.search(text):
+    if not _simple(text):
         head, *rest = _CUTS.split(text)
         return [(head, [x[1:] for x in rest])]
     lines = [x.split(" ") for x in text.split("\n")]
@@ -83,11 +91,14 @@ def cut(text: str) -> list[tuple[str, list[str]]]:
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    New chunks are encoded many at a time in one string, parted by a mark with an id
-    of its own; chunks with that mark or with white space are encoded alone.
+    A chunk of Latin letters and punctuation behind them is two pre-tokens at most, which
+    go to the library's model at once. Other new chunks are encoded many at a time in one
+    string, parted by a mark with an id of its own; chunks with that mark or with white
+    space are encoded alone.
     """
 
     GROUP = 4096
+    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,6 +107,27 @@ class ChunkEncoder:
         self.heads: dict[str, bytes] = {"": b""}
         self.tails: dict[str, bytes] = {}
         self.line = np.array(self._ids("\n"), "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
+        # The byte-level alphabet: printable bytes stand for themselves, others follow 255.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in own]
+        self.alphabet = {x: 256 + i for i, x in enumerate(rest)}
+        self.space = chr(self.alphabet[32])
+
+    def _word(self, before: str, letters: str) -> bytes:
+        word = letters if self.line else letters.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        if before and self.line:
+            word = self.space + word
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = np.array(self._ids(marks), "<u4").tobytes()
+        return self.marks[marks]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -105,7 +137,9 @@ class ChunkEncoder:
         (mark_id,) = self._ids(between[: len(between) - len(before)] if before else between)
         plain = []
         for x in chunks:
-            if mark in x or x.split() != [x]:
+            if simple := self.PLAIN.fullmatch(x):
+                known[x] = self._word(before, simple[1]) + self._marks(simple[2])
+            elif mark in x or x.split() != [x]:
                 known[x] = np.array(self._ids(before + x), "<u4").tobytes()
             else:
                 plain.append(x)
@@ -122,7 +156,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.heads) + len(self.tails) > self.entries:
-            self.heads, self.tails = {"": b""}, {}
+            self.heads, self.tails, self.marks = {"": b""}, {}, {"": b""}
         parts = [cut(x) for x in texts]
         heads: set[str] = set()
         tails: set[str] = set()

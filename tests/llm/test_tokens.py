@@ -24,6 +24,8 @@ def odd_texts(n=4000):
     rng = random.Random(5)
     chars = " \n\t  ab'sé|1.2<|endoftext|> 　\x1c\x85ñ, Aßğ aaththe"
     made = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+    letters = "abcXYZÀßéñſİıŉǅǰʹ.!;'" + "e" * 9
+    made += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(6)) for _ in range(n)]
     return made + ["a" * 3000 + "ab" * 900, "", " ", "\n"]
 
 
