@@ -83,19 +83,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _token = re.compile(r"[0-9]+|[^\W\d_]+|\n|[^\S\n]+|.", re.S)
-#: What starts a window: an @ or its spelling, or seven digits with at most two other
-#: characters between neighbours.
-_start = re.compile(r"@|[(\[{ ]at[)\]} ][^\n]{1,40}?(?:\.|[(\[{ ]dot[)\]} ])|[0-9](?:[^0-9\n]{0,2}[0-9]){6,60}", re.I)
+#: What starts a window: an @; `at` in brackets; `at` and soon after it `dot` as words; or
+#: seven digits with at most two other characters between neighbours.
+_number = re.compile(r"[0-9](?:[^0-9\n]{0,2}[0-9]){6,60}")
+_bracketed = re.compile(r"[(\[{] ?[aA][tT] ?[)\]}]")
+_words = re.compile(r" [aA][tT] [^\n]{1,60}? [dD][oO][tT] ")
 _OPEN = 240
 
 
+def _starts(text: str) -> list[tuple[int, int]]:
+    out = [m.span() for m in _number.finditer(text)]
+    if "@" in text:
+        out += [m.span() for m in re.finditer("@", text)]
+    if any(c in text for c in "([{"):
+        out += [m.span() for m in _bracketed.finditer(text)]
+    if any(x in text for x in (" dot ", " Dot ", " DOT ")):
+        out += [m.span() for m in _words.finditer(text)]
+    return sorted(out)
+
+
 def windows(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Stretches of text around starts that no taken span covers; they don't overlap."""
     out: list[list[int]] = []
     taken = sorted(taken)
     k = 0
-    for m in _start.finditer(text):
-        a, b = m.start(), m.end()
+    for a, b in _starts(text):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k < len(taken) and taken[k][0] <= a and taken[k][1] >= b:
