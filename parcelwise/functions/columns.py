@@ -86,8 +86,30 @@ def sigmoid(column: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(bounded))
 
 
+def fixed_text(column: Column, digits: int) -> Column:
+    """A double with `digits` decimals: its exact binary value is rounded, ties to even.
+
+    Below 1024 the value is a whole number of small powers of two, so whole-number
+    arithmetic decides; larger values are rounded on their shortest decimals.
+    """
+    x = column.cast("double")
+    size = F.abs(x)
+    bits = F.when(size < 0.25, 64).when(size < 1, 62).otherwise(53)
+    units = F.floor(F.when(size < 1024, size) * F.pow(F.lit(2.0), bits)).cast("bigint")
+    scaled = (units.cast("decimal(20,0)") * F.lit(10**digits)).cast("decimal(38,0)")
+    one = F.pow(F.lit(2.0), bits - 30).cast("bigint").cast("decimal(12,0)") * F.lit(2**30).cast("decimal(10,0)")
+    one = one.cast("decimal(20,0)")
+    whole = F.floor(scaled / one).cast("bigint")
+    rest = (scaled - (whole.cast("decimal(20,0)") * one).cast("decimal(38,0)")).cast("decimal(38,0)")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (whole % 2 == 1))
+    near = (whole + F.when(up, 1).otherwise(0)).cast("decimal(20,0)") / F.lit(10**digits)
+    signed = F.when(x < 0, -near).otherwise(near).cast(f"decimal(30,{digits})")
+    exact = signed.cast("string")
+    return F.when(F.abs(x) < 1024, exact).otherwise(F.format_string(f"%.{digits}f", F.bround(x, digits)))
+
+
 def percent_text(column: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", column * 100)
+    return F.concat(fixed_text(column.cast("double") * 100, digits), F.lit("%"))
 
 
 def yes_no(column: Column) -> Column:

@@ -71,9 +71,10 @@ def price_band(products: DataFrame, bands: DataFrame) -> DataFrame:
 
 def normalised(df: DataFrame, group: str, weight: str, output: str) -> DataFrame:
     """Weight divided by the group's total. Totals are combined before they move, and
-    stored, so that the join is a broadcast only when the groups are few."""
+    stored, so that the join is a broadcast only when the groups are few. A group whose
+    total is 0 has null shares."""
     totals = durable(df.groupBy(group).agg(F.sum(weight).alias("_total")))
-    return df.join(totals, group).withColumn(output, ratio(F.col(weight), F.col("_total"))).drop(
+    return df.join(totals, group).withColumn(output, ratio(F.col(weight), F.nullif(F.col("_total"), F.lit(0)))).drop(
         "_total"
     )
 
@@ -127,20 +128,24 @@ def renumber(df: DataFrame, order: list, prefix: str, width: int, output: str) -
 
 
 def apportion(df: DataFrame, key: str, weight: str, total: int, output: str) -> DataFrame:
-    """Whole numbers proportional to an integer weight, at least 1, summing to `total`.
+    """Whole numbers proportional to a weight, at least 1, summing to `total`. Weights count
+    exactly with up to six decimals.
 
     What rounding leaves over is added to (or taken from) the largest rows, one
     each; rows tie by key. Halves round to even.
     """
     df = durable(df)
-    weights = df.agg(F.sum(F.col(weight).cast("bigint"))).first()[0]
+    # Millionths, so that all that follows is whole numbers.
+    units = (F.col(weight).cast("decimal(32,6)") * F.lit(1_000_000)).cast("decimal(38,0)")
+    weights = df.agg(F.sum(units).cast("decimal(38,0)")).first()[0]
     if not weights:
         return df.withColumn(output, F.lit(None).cast("bigint"))
-    exact = (F.col(weight).cast("decimal(38,0)") * F.lit(total)).cast("decimal(38,0)")
-    whole = F.floor(exact / F.lit(weights)).cast("bigint")
+    exact = (units * F.lit(total)).cast("decimal(38,0)")
+    divisor = F.lit(weights).cast("decimal(38,0)")
+    whole = F.floor(exact / divisor).cast("bigint")
     # Twice the remainder against the divisor decides the rounding without fractions.
-    rest = (exact * 2 - whole.cast("decimal(38,0)") * F.lit(2) * F.lit(weights)).cast("decimal(38,0)")
-    up = (rest > weights) | ((rest == weights) & (whole % 2 == 1))
+    rest = (exact * 2 - (whole.cast("decimal(20,0)") * 2 * divisor).cast("decimal(38,0)")).cast("decimal(38,0)")
+    up = (rest > divisor) | ((rest == divisor) & (whole % 2 == 1))
     scaled = df.withColumn(
         output, F.greatest(whole + F.when(up, 1).otherwise(0), F.lit(1).cast("bigint"))
     )

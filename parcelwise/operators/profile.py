@@ -122,7 +122,7 @@ def verdict_summary(df: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Min, max, total and distinct count per numeric column, one row per column."""
+    """Count, min, max, sum, mean and distinct count per numeric column, one row per column."""
     long = df.select(
         F.inline(
             F.array(
@@ -136,6 +136,8 @@ def table_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
+        F.sum(F.col("v") * F.col("n")).alias("sum"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.count("v").alias("distinct"),
     )
 

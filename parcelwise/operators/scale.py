@@ -18,37 +18,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from parcelwise.session import durable
 
 MIN_HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
 
 _LONE = "_lone"
 _HOT = "_hot"
 BLOCK = "_block"
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: list[str],
-    min_rows: int = MIN_HOT_ROWS,
-    max_keys: int = MAX_HOT_KEYS,
-) -> DataFrame | None:
-    """The largest keys with more than `min_rows` rows, or None.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
+    """The keys with more than `min_rows` rows, or None.
 
-    At most `max_keys` are returned, so the result is always broadcastable; any
-    key left out has at most 1/max_keys of the rows. Only the plan depends on
-    this list, never the result.
+    The list is a stored table: Spark broadcasts it only while its files are small. Only
+    the plan depends on it, never the result.
     """
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > min_rows)
-        .orderBy(F.desc("_n"))
-        .limit(max_keys)
-        .select(*keys)
-    )
-    rows = found.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=found.schema)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = durable(counts.where(F.col("_n") > min_rows).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def _days_back(aggregate: str, keys: list[str], day: str, k: int) -> Column:
@@ -96,7 +80,7 @@ class Timeline:
         if hot is not None:
             if _HOT not in df.columns:
                 marked = hot.withColumn(_HOT, F.lit(True))
-                df = df.join(F.broadcast(marked), list(keys), "left")
+                df = df.join(marked, list(keys), "left")
             # Stored once: the block totals below read the hot rows of it again.
             df = durable(df.withColumns({f"_cut_{c}": F.when(F.col(_HOT), F.col(c)) for c in cut}))
         return cls(df, tuple(keys), tuple(order), tuple(cut), hot is not None)

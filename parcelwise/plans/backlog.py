@@ -16,13 +16,11 @@ from parcelwise.sources.files import (
 )
 from parcelwise.sources.schema import Tables
 
-MAX_BATCH = 100
-
 
 def next_batch(returns: DataFrame, processed: DataFrame, n: int) -> DataFrame:
     """The n newest returns that are not processed yet."""
-    if not 1 <= n <= MAX_BATCH:
-        raise ValueError(f"batch size must be between 1 and {MAX_BATCH}")
+    if n < 1:
+        raise ValueError("batch size must be at least 1")
     return (
         returns.select("return_id", "return_request_date")
         .join(processed.select("return_id"), "return_id", "left_anti")
@@ -61,8 +59,9 @@ def run_batch(
     """Decide the next n returns, append them to the log, and count the verdicts.
 
     decide: plan from tables to decided cases with verdict, confidence, reasoning,
-    risk_score and rule_score. Running again after a failure repeats only returns
-    that are not in the log.
+    risk_score and rule_score. Rows unfit for triage are logged with the verdict
+    Invalid and their faults as reasoning, so they are not drawn again. Running again
+    after a failure repeats only returns that are not in the log.
     """
     spark = tables.returns.sparkSession
     if log_exists(spark, log_path):
@@ -71,13 +70,15 @@ def run_batch(
         processed = spark.createDataFrame([], "return_id string")
     batch = durable(next_batch(tables.returns, processed, n))
     decided = decide(restrict_to(tables, batch)).join(batch.select("return_id"), "return_id", "left_semi")
-    valid, _ = split_valid(decided)
+    valid, rejected = split_valid(decided)
+    told = rejected.withColumns({"verdict": F.lit("Invalid"), "confidence": F.lit("0.0"), "reasoning": F.col("faults")})
+    unfit = audit_record(told, case_record_fields(told), F.lit(stamp))
     records = durable(
         audit_record(
             valid.withColumn("confidence", F.col("confidence").cast("string")),
             case_record_fields(valid),
             F.lit(stamp),
-        )
+        ).unionByName(unfit)
     )
     append_escalations(records, queue_path)
     append_decisions(records, log_path)

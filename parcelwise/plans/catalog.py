@@ -17,15 +17,13 @@ from parcelwise.operators.features import (
 )
 from parcelwise.plans import backlog, triage
 from parcelwise.session import durable, shared_dir, small_table
+from parcelwise.operators.scale import hot_keys
 from parcelwise.sources import tables as scans
 from parcelwise.sources.mart import CATEGORIES, Mart, mart
 from parcelwise.sources.schema import DECISION_LOG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# The library default is 300 rounds; the registered model queries use fewer so that
-# one run of all queries stays short.
-CHECK_MODEL = ModelParams(rounds=20)
 END_DATE = "2001-07-01"
 
 
@@ -188,10 +186,16 @@ _select("manual_verification", "requires_manual_verification")
 _select("full_features", *ALL_FEATURES, "target")
 
 
+@query
+def full_features_split(m):
+    """The features with the histories of busier users cut into blocks."""
+    busy = hot_keys(m.orders, ["user_id"], 20)
+    return full_features(m.tables, busy).select("return_id", *ALL_FEATURES, "target")
+
+
 @query
 def case_view(m):
-    shown = texts.case_view(features(m))
-    return shown.select(*[c for c in shown.columns if c not in ("base_defect_rate", "rating")])
+    return texts.case_view(features(m))
 
 
 # --- catalogue -----------------------------------------------------------------
@@ -291,6 +295,12 @@ def apportion(m):
     return catalog.apportion(weights, "user_id", "weight", 33_000, "planned_orders")
 
 
+@query
+def apportion_fractional(m):
+    weights = m.orders.groupBy("user_id").agg((F.count(F.lit(1)) * 0.25 + 0.5).alias("weight"))
+    return catalog.apportion(weights, "user_id", "weight", 33_000, "planned_orders")
+
+
 @query
 def gap_chain(m):
     first = m.users.select("user_id", "registration_date")
@@ -425,9 +435,10 @@ def fraud_rate_by_type(m):
 
 @query
 def table_profile(m):
-    return profile.table_profile(
+    found = profile.table_profile(
         m.orders, ["order_value", "discount_pct", "is_prepaid", "is_returned"]
     )
+    return found.withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 6)})
 
 
 @query
@@ -441,15 +452,7 @@ def age_buckets(m):
 
 @query
 def integrity_report(m):
-    """Checked against verified users, well-rated sellers and returnable products only,
-    so that every kind of violation occurs."""
-    return profile.integrity_report(
-        m.users.where("email_verified = 1"),
-        m.sellers.where("seller_rating >= 2"),
-        m.products.where("is_non_returnable = 0"),
-        m.orders.where("is_prepaid = 1 or is_returned = 1"),
-        m.returns.unionByName(m.returns.where("image_uploaded = 1")),
-    )
+    return profile.integrity_report(m.users, m.sellers, m.products, m.orders, m.returns)
 
 
 @query
@@ -506,12 +509,12 @@ def verdict(m):
 
 @query
 def verdict_summary(m):
-    return profile.verdict_summary(decided(m))
+    return profile.verdict_summary(triage.final_verdict(decided(m)))
 
 
 @query
 def escalation_queue(m):
-    queue = decided(m).where(F.col("verdict") == "Escalate")
+    queue = triage.final_verdict(decided(m)).where(F.col("verdict") == "Escalate")
     return queue.select("return_id", "user_id", risk(), "rule_score", "escalation_count")
 
 
@@ -777,7 +780,7 @@ def matrix(m: Mart) -> DataFrame:
 def model_path(m: Mart) -> str:
     held_out = matrix(m).withColumn("held_out", F.col("split") == "test")
     path = f"{shared_dir(m.spark)}/parcelwise-model-{abs(hash((m.path, id(m))))}"
-    ml.save_model(ml.train(held_out, CHECK_MODEL, "held_out"), path)
+    ml.save_model(ml.train(held_out, ModelParams(), "held_out"), path)
     return path
 
 
@@ -791,7 +794,7 @@ QUERIES["feature_matrix"] = QUERIES.pop("feature_matrix_")
 
 @query
 def score_risk(m):
-    scored = ml.score(ml.load_model(model_path(m)), matrix(m).where("split = 'test'"))
+    scored = ml.score(ml.load_model(model_path(m)), matrix(m))
     return scored.select("return_id", "fraud_probability", "prediction", "target")
 
 

@@ -344,8 +344,6 @@ def _duplicates(name: str, table: str, key: str) -> str:
 SIGNAL = """CASE WHEN policy_violation THEN 'policy' WHEN hard_signals > 0 THEN 'metadata' WHEN risk_score >= 0.3 THEN 'model'
   WHEN evidence_missing OR evidence_inconsistent THEN 'evidence' WHEN behaviour_flags > 0 THEN 'behaviour'
   WHEN text_flag THEN 'text' ELSE 'none' END"""
-# Two digits of a fraction of whole numbers, halves up.
-HUNDREDTHS = "(200 * total_returns_at_time + greatest(total_orders_at_time, 1)) // (2 * greatest(total_orders_at_time, 1))"
 
 
 def _yes(column: str) -> str:
@@ -375,7 +373,7 @@ DOSSIER = " || chr(10) || ".join(
         f"'- Shared Device: ' || {_yes('shared_device_flag')}",
         "'- Total Orders: ' || total_orders_at_time",
         "'- Total Prior Returns: ' || total_returns_at_time",
-        f"'- Return-to-Order Ratio: ' || CAST({HUNDREDTHS} // 100 AS VARCHAR) || '.' || lpad(CAST({HUNDREDTHS} % 100 AS VARCHAR), 2, '0')",
+        "'- Return-to-Order Ratio: ' || printf('%.2f', CAST(return_to_order_ratio AS DOUBLE))",
         "'- Returns in Last 30 Days: ' || returns_last_30d",
         "chr(10) || '[Seller Profile]'",
         "'- Seller Rating: ' || seller_rating",
@@ -389,8 +387,6 @@ DOSSIER = " || chr(10) || ".join(
         "coalesce(lines, '  * No rules triggered.')",
     ]
 )
-INTEGRITY_ORDERS = "(SELECT * FROM m_orders WHERE is_prepaid = 1 OR is_returned = 1)"
-INTEGRITY_RETURNS = "(SELECT return_id, order_id FROM m_requests UNION ALL SELECT return_id, order_id FROM m_requests WHERE image_uploaded = 1)"
 CLASSES = """
 SELECT count(*) FILTER (target = 0 AND score < 0.5) AS tn, count(*) FILTER (target = 0 AND score >= 0.5) AS fp,
   count(*) FILTER (target = 1 AND score < 0.5) AS fn, count(*) FILTER (target = 1 AND score >= 0.5) AS tp FROM m_labelled"""
@@ -425,6 +421,8 @@ same_category_return_ratio, high_value_return_ratio FROM m_features""",
     "velocity_features": "SELECT return_id, returns_last_30d, returns_last_90d, return_frequency_score FROM m_features",
     "manual_verification": "SELECT return_id, requires_manual_verification FROM m_features",
     "full_features": f"SELECT return_id, {', '.join(ALL_FEATURES)}, target FROM m_features",
+    "full_features_split": f"SELECT return_id, {', '.join(ALL_FEATURES)}, target FROM m_features",
+    "sample_cases": "SELECT return_id FROM m_split WHERE split = 'test' ORDER BY md5(return_id || ':42') || return_id LIMIT 100",
     "case_view": """
 SELECT * EXCLUDE (prev_return_date, prev_category, past_order_value_sum, past_returns_count,
     past_seller_returns, is_same_category, is_high_value_return, is_weekend_return,
@@ -433,7 +431,8 @@ SELECT * EXCLUDE (prev_return_date, prev_category, past_order_value_sum, past_re
     strftime(order_date, '%Y-%m-%d') AS order_date, strftime(delivery_date, '%Y-%m-%d') AS delivery_date,
     strftime(user_registration_date, '%Y-%m-%d') AS user_registration_date,
     strftime(seller_registration_date, '%Y-%m-%d') AS seller_registration_date)
-FROM m_features""",
+FROM m_features JOIN (SELECT product_id, base_defect_rate FROM m_products) USING (product_id)
+  JOIN (SELECT seller_id, rating FROM m_sellers) USING (seller_id)""",
     "returnability": f"""
 SELECT order_id, CAST(CASE WHEN is_non_returnable = 1 THEN 0 ELSE is_returned END {B} AS is_returned
 FROM m_orders JOIN m_products USING (product_id)""",
@@ -471,6 +470,11 @@ SELECT user_id, weight, CAST(s + CASE WHEN rn <= abs(drift) THEN sign(drift) ELS
   SELECT *, row_number() OVER (ORDER BY s DESC, user_id) AS rn, 33000 - sum(s) OVER () AS drift FROM (
     SELECT user_id, weight, greatest(CAST(round_even(weight * CAST(33000 AS DOUBLE) / sum(weight) OVER (), 0) {B}, 1) AS s
     FROM (SELECT user_id, count(*) AS weight FROM m_orders GROUP BY 1)))""",
+    "apportion_fractional": f"""
+SELECT user_id, weight, CAST(s + CASE WHEN rn <= abs(drift) THEN sign(drift) ELSE 0 END {B} AS planned_orders FROM (
+  SELECT *, row_number() OVER (ORDER BY s DESC, user_id) AS rn, 33000 - sum(s) OVER () AS drift FROM (
+    SELECT user_id, weight, greatest(CAST(round_even(weight * CAST(33000 AS DOUBLE) / sum(weight) OVER (), 0) {B}, 1) AS s
+    FROM (SELECT user_id, CAST(count(*) AS DOUBLE) * 0.25::DOUBLE + 0.5::DOUBLE AS weight FROM m_orders GROUP BY 1)))""",
     "gap_chain": f"""
 SELECT order_id, user_id, position, event_date FROM (
   SELECT a.order_id, a.user_id, CAST(count(b.order_id) + 1 {B} AS position,
@@ -524,7 +528,7 @@ SELECT fraud_type, CAST(count(*) {B} AS n, CAST(count(*) FILTER (label = 'fraud'
   CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM m_scored) AS DOUBLE) AS share,
   CAST(count(*) FILTER (label = 'fraud') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rate FROM m_scored GROUP BY 1""",
     "table_profile": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", CAST(count({c}) {B} AS n, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, CAST(count(DISTINCT {c}) {B} AS \"distinct\" FROM m_orders"
+        f"SELECT '{c}' AS \"column\", CAST(count({c}) {B} AS n, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(CAST(sum({c}) AS DOUBLE), 2) AS sum, round(avg({c}), 6) AS mean, CAST(count(DISTINCT {c}) {B} AS \"distinct\" FROM m_orders"
         for c in ("order_value", "discount_pct", "is_prepaid", "is_returned")
     ),
     "age_buckets": f"""
@@ -532,13 +536,13 @@ SELECT CASE WHEN seller_age_days <= 180 THEN 'new' WHEN seller_age_days <= 730 T
   CAST(count(*) {B} AS sellers, round(avg(seller_rating), 6) AS mean_rating FROM m_sellers GROUP BY 1""",
     "integrity_report": " UNION ALL ".join(
         [
-            _orphans("orders_without_user", INTEGRITY_ORDERS, "m_users WHERE email_verified = 1", "user_id"),
-            _orphans("orders_without_product", INTEGRITY_ORDERS, "m_products WHERE is_non_returnable = 0", "product_id"),
-            _orphans("orders_without_seller", INTEGRITY_ORDERS, "m_sellers WHERE seller_rating >= 2", "seller_id"),
-            _orphans("returns_of_unreturned_orders", INTEGRITY_RETURNS, "m_orders WHERE is_returned = 1", "order_id"),
-            _duplicates("duplicate_return_ids", INTEGRITY_RETURNS, "return_id"),
-            _duplicates("duplicate_order_ids", INTEGRITY_ORDERS, "order_id"),
-            f"SELECT 'orders_with_null_keys' AS \"check\", CAST(count(*) {B} AS violations FROM {INTEGRITY_ORDERS} WHERE user_id IS NULL OR product_id IS NULL OR seller_id IS NULL",
+            _orphans("orders_without_user", "m_orders", "m_users", "user_id"),
+            _orphans("orders_without_product", "m_orders", "m_products", "product_id"),
+            _orphans("orders_without_seller", "m_orders", "m_sellers", "seller_id"),
+            _orphans("returns_of_unreturned_orders", "m_requests", "m_orders WHERE is_returned = 1", "order_id"),
+            _duplicates("duplicate_return_ids", "m_requests", "return_id"),
+            _duplicates("duplicate_order_ids", "m_orders", "order_id"),
+            f"SELECT 'orders_with_null_keys' AS \"check\", CAST(count(*) {B} AS violations FROM m_orders WHERE user_id IS NULL OR product_id IS NULL OR seller_id IS NULL",
         ]
     ),
     "category_codes": " UNION ALL ".join(
@@ -561,8 +565,8 @@ FROM m_decided""",
     "verdict": "SELECT return_id, round(risk_score, 6) AS risk_score, confidence, escalation_count, verdict FROM m_verdicts",
     "verdict_summary": f"""
 SELECT CAST(count(*) FILTER (verdict = 'Auto-Approve') {B} AS approved, CAST(count(*) FILTER (verdict = 'Escalate') {B} AS escalated,
-  CAST(count(*) FILTER (verdict = 'Auto-Reject') {B} AS rejected FROM m_verdicts""",
-    "escalation_queue": "SELECT return_id, user_id, round(risk_score, 6) AS risk_score, rule_score, escalation_count FROM m_verdicts WHERE verdict = 'Escalate'",
+  CAST(count(*) FILTER (verdict = 'Auto-Reject') {B} AS rejected FROM m_final""",
+    "escalation_queue": "SELECT return_id, user_id, round(risk_score, 6) AS risk_score, rule_score, escalation_count FROM m_final WHERE verdict = 'Escalate'",
     "deciding_signal": f"SELECT return_id, {SIGNAL} AS deciding_signal FROM m_decided",
     "trusted_override": "SELECT return_id, prior_fraud, trusted_override FROM m_verdicts",
     "boundary_escalation": "SELECT return_id, boundary_escalation FROM m_verdicts",

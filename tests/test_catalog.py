@@ -117,3 +117,15 @@ def test_window_fields(spark):
     df = spark.createDataFrame(rows, "return_request_date date, delivery_date date, return_window_days int")
     got = [(r["within_window"], r["days_left"]) for r in catalog.window_fields(df).collect()]
     assert got == [(1, 0), (0, 0), (1, 0), (0, 0), (1, 0)]
+
+
+def test_apportion_takes_fractional_weights(spark):
+    df = spark.createDataFrame([(i, 0.5 + 0.25 * i) for i in range(1, 9)], "k long, w double")
+    rows = catalog.apportion(df, "k", "w", 100, "n").collect()
+    assert sum(r.n for r in rows) == 100
+    assert all(abs(r.n - 100 * r.w / 13) <= 1 for r in rows)
+
+
+def test_shares_of_nothing_are_null(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 3)], "g string, w long")
+    assert {(r.g, r.s) for r in catalog.normalised(df, "g", "w", "s").collect()} == {("a", None), ("b", 1.0)}

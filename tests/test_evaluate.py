@@ -96,11 +96,11 @@ def test_sample_is_stable(points):
 
 @pytest.mark.parametrize("n", [0, 1, 57, 400, 500])
 def test_large_samples_are_exact_and_stable(points, n):
-    a = evaluate.sample_rows(points, "return_id", n, sorted_up_to=-1) if n else None
+    a = evaluate.sample_rows(points, "return_id", n) if n else None
     if n == 0:
         assert evaluate.sample_rows(points, "return_id", 0).count() == 0
         return
-    b = evaluate.sample_rows(points.repartition(3), "return_id", n, sorted_up_to=-1)
+    b = evaluate.sample_rows(points.repartition(3), "return_id", n)
     ids = {r["return_id"] for r in a.collect()}
     assert len(ids) == a.count() == min(n, 400)
     assert ids == {r["return_id"] for r in b.collect()}
