@@ -118,7 +118,8 @@ def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     targets = F.array_compact(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("last")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("part"), F.lit(1).alias("last")))))
     dealt = both.select(F.explode(targets).alias("_t"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("_t.part", "_t.last", "doc_id", "text")
     order = ["part", "last", F.col("doc_id").asc_nulls_first(), "text"]
-    return dealt.repartition(len(firsts) or 1, "part").sortWithinPartitions(*order)
+    # Range numbers are partition numbers, so no task gets two ranges by chance.
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
 
 
 def compare_edited(documents: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
