@@ -14,10 +14,12 @@ WHITESPACE = (
 )
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy",
-    "MM/dd/yyyy",
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september",
+    "october", "november", "december",
 ]
+# A time of day with fraction and zone after a date; it does not change the date as written.
+CLOCK = r"(?:(?:T|\s+)\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -56,10 +58,31 @@ def blank_to_null(column: Column) -> Column:
 
 
 def parse_date(column: Column) -> Column:
-    """Date from text in any of the known formats, null when none fits."""
-    trimmed = strip(column.cast("string"))
+    """Date from text in mixed forms, null when none fits.
+
+    Year first; else month first, and day first only where the month is impossible; or
+    with the month's name. A time, fraction or zone may follow and is dropped.
+    """
+    text = strip(column.cast("string"))
+
+    def found(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
+        part = lambda i: F.nullif(F.regexp_extract(text, "(?i)" + pattern + CLOCK, i), F.lit(""))
+        number = part(month).cast("int")
+        if named:
+            name = F.lower(part(month))
+            places = [F.array_position(F.lit(m), name) for m in (MONTHS, [m[:3] for m in MONTHS])]
+            number = F.greatest(*places).cast("int")
+        clock = [F.lit(0), F.lit(0), F.lit(0)]
+        return F.try_make_timestamp(part(year).cast("int"), number, part(day).cast("int"), *clock).cast("date")
+
+    two_first = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})"
     return F.coalesce(
-        *[F.try_to_timestamp(trimmed, F.lit(f)).cast("date") for f in DATE_FORMATS]
+        found(r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", 1, 3, 4),
+        found(r"^(\d{4})(\d{2})(\d{2})", 1, 2, 3),
+        found(two_first, 4, 1, 3),
+        found(two_first, 4, 3, 1),
+        found(r"^([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})", 3, 1, 2, named=True),
+        found(r"^(\d{1,2})[\s-]+([a-z]{3,9})\.?,?[\s-]+(\d{4})", 3, 2, 1, named=True),
     )
 
 

@@ -55,18 +55,16 @@ def price_band(products: DataFrame, bands: DataFrame) -> DataFrame:
 
     bands: segment, category, price_lo, price_hi; a short parameter table.
     """
-    pairs = products.select("product_id", "category", "price").join(bands, "category")
-    pairs = pairs.withColumn("in_band", F.col("price").between(F.col("price_lo"), F.col("price_hi")))
-    filled = pairs.where("in_band").groupBy("segment", "category").agg(
-        F.count(F.lit(1)).alias("in_band_products")
-    )
-    # At most one row per band, and bands are parameters.
-    return (
-        pairs.join(F.broadcast(filled), ["segment", "category"], "left")
-        .withColumn("relaxed", yes(F.col("in_band_products").isNull()))
-        .where(F.col("in_band") | (F.col("relaxed") == 1))
-        .select("segment", "category", "product_id", "price", "relaxed")
-    )
+    columns = ["segment", "category", "product_id", "price", "relaxed"]
+    offered = products.select("product_id", "category", "price").alias("p").join(
+        bands.alias("b"),
+        (F.col("p.category") == F.col("b.category")) & F.col("price").between(F.col("price_lo"), F.col("price_hi")),
+    ).select("segment", "p.category", "product_id", "price", F.lit(0).alias("relaxed"))
+    filled = offered.select("segment", "category").distinct()
+    empty = bands.select("segment", "category").distinct().join(filled, ["segment", "category"], "left_anti")
+    # Only bands without any product are paired with their whole category.
+    whole = products.select("product_id", "category", "price").join(empty, "category")
+    return offered.unionByName(whole.withColumn("relaxed", F.lit(1)).select(columns))
 
 
 def normalised(df: DataFrame, group: str, weight: str, output: str) -> DataFrame:

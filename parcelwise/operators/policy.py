@@ -35,11 +35,11 @@ def confidence_band(confidence: Column, p: PolicyParams = PolicyParams()) -> Col
 
 
 def escalation_reasons(p: PolicyParams = PolicyParams()) -> list[Column]:
-    """The seven conditions that send a case to a person.
+    """The eight conditions that send a case to a person.
 
     Columns: risk_score, confidence, order_value, and 0/1 flags evidence_missing,
-    evidence_inconsistent, policy_ambiguous, policy_violation; hard_signals counts
-    confirmed hard fraud signals.
+    evidence_inconsistent, policy_ambiguous, policy_violation, rule_escalation (a rule
+    fired that only a person may settle); hard_signals counts confirmed hard fraud signals.
     """
     risk = F.col("risk_score")
     return [
@@ -50,15 +50,17 @@ def escalation_reasons(p: PolicyParams = PolicyParams()) -> list[Column]:
         F.col("evidence_inconsistent") == 1,
         F.col("confidence") < p.min_confidence,
         (F.col("hard_signals") == 1) & (F.col("policy_violation") == 0),
+        F.col("rule_escalation") == 1,
     ]
 
 
 def decide(df: DataFrame, p: PolicyParams = PolicyParams()) -> DataFrame:
     """Add escalation_count and verdict.
 
-    Any escalation condition wins. A confirmed policy violation rejects whatever
-    the score; a high score rejects only with two hard signals and high confidence.
-    Approval needs low risk, satisfied policy and high confidence. The rest is
+    In this order: any escalation condition goes to a person; so does whatever is not
+    above the confidence for automatic decisions. Then a confirmed policy violation
+    rejects at any risk, since no score outweighs eligibility; a high score rejects
+    only with two hard signals; low risk with satisfied policy approves. The rest is
     left to a person.
     """
     reasons = [yes(r) for r in escalation_reasons(p)]
@@ -67,18 +69,12 @@ def decide(df: DataFrame, p: PolicyParams = PolicyParams()) -> DataFrame:
         [
             F.col("risk_score") > p.high_risk,
             F.col("hard_signals") >= 2,
-            F.col("confidence") > p.auto_confidence,
-        ]
-    )
-    clear = all_of(
-        [
-            F.col("risk_score") < p.low_risk,
-            F.col("policy_ok") == 1,
-            F.col("confidence") > p.auto_confidence,
         ]
     )
+    clear = all_of([F.col("risk_score") < p.low_risk, F.col("policy_ok") == 1])
+    sure = yes(F.col("confidence") > p.auto_confidence)
     verdict = (
-        F.when(count > 0, ESCALATE)
+        F.when((count > 0) | (sure == 0), ESCALATE)
         .when(F.col("policy_violation") == 1, REJECT)
         .when(corroborated, REJECT)
         .when(clear, APPROVE)

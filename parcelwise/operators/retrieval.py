@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelwise.config import RetrievalParams
 from parcelwise.functions.columns import strip, tokens
@@ -80,11 +79,13 @@ def chunk_documents(
         .select("source", "section_no", F.posexplode_outer("texts").alias("part_no", "chunk"))
         .select("source", "section_no", "part_no", "chunk.text", "chunk.last")
     )
+    chunk_id = F.concat_ws("/", F.col("source").cast("string"), "section_no", "part_no")
     # A blank chunk stays only between two others.
     return chunks.where((F.col("text") != "") | ~F.col("last")).select(
         "source",
         "section_no",
         "part_no",
+        chunk_id.alias("chunk_id"),
         "text",
         F.left(F.substring_index("text", "\n", 1), F.lit(params.label_chars)).alias("section"),
     )
@@ -209,39 +210,28 @@ def _best_rows(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))][:n]
 
 
-def _search_block(query_ids: list, matrix: np.ndarray, n: int):
-    """Task function: the n best rows of a partition for every query of one block."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple] = [(None, None)] * len(query_ids)
-        id_type = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            id_type = batch.column(0).type
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = values.astype("float64").reshape(batch.num_rows, -1)
-            scores = np.round(vectors @ matrix.T, 6)
-            for q in range(len(query_ids)):
-                top = _best_rows(ids, scores[:, q], n)
-                found, score = ids[top], scores[top, q]
-                if best[q][0] is not None:
-                    found = np.concatenate([best[q][0], found])
-                    score = np.concatenate([best[q][1], score])
-                    top = _best_rows(found, score, n)
-                    found, score = found[top], score[top]
-                best[q] = (found, score)
-        if id_type is None:
-            return
-        sizes = [len(found) for found, _ in best]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "query_id": np.repeat(np.asarray(query_ids), sizes),
-                "chunk_id": pa.array(np.concatenate([f for f, _ in best]), type=id_type),
-                "score": np.concatenate([s for _, s in best]),
-            }
-        )
+def _search_cell(schema: pa.Schema, n: int, at_once: int = 256):
+    """Task function: the n best vectors of a shard for every query of a block."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        values = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return values.astype("float64").reshape(table.num_rows, -1)
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        ids = vectors["chunk_id"].to_numpy()
+        names, x, q = queries["query_id"].to_numpy(), matrix(vectors), matrix(queries)
+        asked, found, score = [], [], []
+        for first in range(0, len(q), at_once):
+            scores = np.round(x @ q[first : first + at_once].T, 6)
+            for i in range(scores.shape[1]):
+                top = _best_rows(ids, scores[:, i], n)
+                asked.append(np.repeat(names[first + i : first + i + 1], len(top)))
+                found.append(ids[top])
+                score.append(scores[top, i])
+        columns = [np.concatenate(c) for c in (asked, found, score)]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return search
 
@@ -250,26 +240,31 @@ def vector_topk(
     queries: DataFrame,
     vectors: DataFrame,
     n: int = RetrievalParams.vector_candidates,
-    block: int = 512,
+    block: int = 4096,
+    shard: int = 20_000,
 ) -> DataFrame:
     """Exhaustive inner-product search: query_id, chunk_id, score, rank.
 
-    queries: query_id, embedding. vectors: chunk_id, embedding (unit length).
-    Queries travel to the tasks in blocks of bounded size; each task multiplies
-    its vectors with the block and hands on only its n best rows per query.
+    queries: query_id, embedding. vectors: chunk_id, embedding (unit length). Rows
+    without an embedding take no part. Queries fall into blocks and vectors into shards by the
+    hash of their ids, of about `block` and `shard` rows; each pair of a block and a
+    shard is one group, which hands on only its n best rows per query. Only the two
+    counts reach the driver.
     """
+    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    source = vectors.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
     types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
     schema = f"query_id {types[0]}, chunk_id {types[1]}, score double"
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    source = vectors.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
-    found = None
-    while part := list(islice(rows, block)):
-        matrix = np.asarray([r["embedding"] for r in part], dtype="float64")
-        ids = [r["query_id"] for r in part]
-        hits = source.mapInArrow(_search_block(ids, matrix, n), schema)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
+    blocks, shards = -(-asked.count() // block), -(-source.count() // shard)
+    if not blocks or not shards:
+        return top_n(queries.sparkSession.createDataFrame([], schema), ["query_id"], [F.desc("score"), "chunk_id"], n, "rank")
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = source.select("chunk_id", "embedding", part("chunk_id", shards).alias("shard"), every(blocks).alias("block"))
+    right = asked.select("query_id", "embedding", part("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    cells = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard"))
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    found = cells.applyInArrow(_search_cell(arrow, n), schema)
     return top_n(found, ["query_id"], [F.desc("score"), "chunk_id"], n, "rank")
 
 

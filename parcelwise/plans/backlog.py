@@ -55,13 +55,15 @@ def run_batch(
     n: int,
     decide: Callable[[Tables], DataFrame],
     stamp: str,
+    probes: DataFrame | None = None,
 ) -> DataFrame:
     """Decide the next n returns, append them to the log, and count the verdicts.
 
     decide: plan from tables to decided cases with verdict, confidence, reasoning,
-    risk_score and rule_score. Rows unfit for triage are logged with the verdict
-    Invalid and their faults as reasoning, so they are not drawn again. Running again
-    after a failure repeats only returns that are not in the log.
+    risk_score and rule_score. probes: texts and pictures to attach to the cases. Rows
+    unfit for triage are logged with the verdict Invalid and their faults as reasoning, so
+    they are not drawn again. Running again after a failure repeats only returns that are
+    not in the log; the queue follows the log and gets every escalation it lacks.
     """
     spark = tables.returns.sparkSession
     if log_exists(spark, log_path):
@@ -70,6 +72,8 @@ def run_batch(
         processed = spark.createDataFrame([], "return_id string")
     batch = durable(next_batch(tables.returns, processed, n))
     decided = decide(restrict_to(tables, batch)).join(batch.select("return_id"), "return_id", "left_semi")
+    if probes is not None:
+        decided = with_probes(decided, probes)
     valid, rejected = split_valid(decided)
     told = rejected.withColumns({"verdict": F.lit("Invalid"), "confidence": F.lit("0.0"), "reasoning": F.col("faults")})
     unfit = audit_record(told, case_record_fields(told), F.lit(stamp))
@@ -80,6 +84,9 @@ def run_batch(
             F.lit(stamp),
         ).unionByName(unfit)
     )
-    append_escalations(records, queue_path)
     append_decisions(records, log_path)
+    logged = read_decision_log(spark, log_path)
+    if log_exists(spark, queue_path):
+        logged = logged.join(read_decision_log(spark, queue_path).select("return_id"), "return_id", "left_anti")
+    append_escalations(durable(logged), queue_path)
     return verdict_summary(records.select(F.col("outputs.verdict").alias("verdict")))

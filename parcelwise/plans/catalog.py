@@ -16,9 +16,9 @@ from parcelwise.operators.features import (
     base_features, category_codes, feature_matrix, full_features, star_join,
 )
 from parcelwise.plans import backlog, triage
-from parcelwise.session import durable, shared_dir, small_table
+from parcelwise.session import durable, new_path, small_table
 from parcelwise.operators.scale import hot_keys
-from parcelwise.sources import tables as scans
+from parcelwise.sources import files, tables as scans
 from parcelwise.sources.mart import CATEGORIES, Mart, mart
 from parcelwise.sources.schema import DECISION_LOG
 
@@ -60,7 +60,12 @@ def confidence():
 
 def signals(m: Mart) -> DataFrame:
     risk = m.scored.select("return_id", F.col("fraud_probability").alias("risk_score"))
-    return triage.with_signals(ruled(m).join(risk, "return_id"), confidence())
+    return triage.with_signals(ruled(m).join(risk, "return_id"), confidence(), bursts(m))
+
+
+@lru_cache(maxsize=8)
+def bursts(m: Mart) -> DataFrame:
+    return durable(triage.burst_days(m.scored))
 
 
 def decided(m: Mart) -> DataFrame:
@@ -127,11 +132,13 @@ def drop_internal(m):
 
 @query
 def parse_dates(m):
-    formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy"]
-    written = F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss")
+    formats = [
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-M-d",
+        "M/d/yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    ]
+    written = F.lit("not a date")
     for i, f in enumerate(formats):
-        written = F.when(F.col("user_id") % 7 == i, F.date_format("order_date", f)).otherwise(written)
-    written = F.when(F.col("user_id") % 7 == 5, "not a date").otherwise(written)
+        written = F.when(F.col("user_id") % 11 == i, F.date_format("order_date", f)).otherwise(written)
     return m.orders.select("order_id", parse_date(written).alias("order_date"))
 
 
@@ -770,17 +777,25 @@ def chunk_documents(m):
 @lru_cache(maxsize=4)
 def matrix(m: Mart) -> DataFrame:
     """Feature matrix with the split; codes are fit on the training rows."""
-    rows = evaluate.temporal_split(durable(features(m)))
-    codes = durable(category_codes(rows.where("split = 'train'")))
-    split = rows.select("return_id", "split")
-    return durable(feature_matrix(rows, codes).join(split, "return_id"))
+    rows = split_features(m)
+    return durable(feature_matrix(rows, train_codes(m)).join(rows.select("return_id", "split"), "return_id"))
+
+
+@lru_cache(maxsize=4)
+def split_features(m: Mart) -> DataFrame:
+    return evaluate.temporal_split(durable(features(m)))
+
+
+@lru_cache(maxsize=4)
+def train_codes(m: Mart) -> DataFrame:
+    return durable(category_codes(split_features(m).where("split = 'train'")))
 
 
 @lru_cache(maxsize=4)
 def model_path(m: Mart) -> str:
     held_out = matrix(m).withColumn("held_out", F.col("split") == "test")
-    path = f"{shared_dir(m.spark)}/parcelwise-model-{abs(hash((m.path, id(m))))}"
-    ml.save_model(ml.train(held_out, ModelParams(), "held_out"), path)
+    path = new_path(m.spark)
+    ml.save_model(ml.train(held_out, ModelParams(), "held_out"), path, train_codes(m))
     return path
 
 
@@ -824,6 +839,97 @@ def explain_fallback(m):
     return explained.select("return_id", F.inline("attributions"))
 
 
+@query
+def model_codes(m):
+    """The category codes stored with the model."""
+    return ml.load_codes(m.spark, model_path(m))
+
+
+@query
+def model_triage(m):
+    """Every return encoded with the stored codes, scored, explained and decided."""
+    path = model_path(m)
+    encoded = durable(feature_matrix(features(m), ml.load_codes(m.spark, path)))
+    risk = ml.score(ml.load_model(path), encoded).select(
+        "return_id", "fraud_probability", F.col("fraud_probability").alias("risk_score")
+    )
+    rows = ruled(m).join(risk, "return_id").join(ml.explain(encoded, ml.tree_table(m.spark, path)), "return_id")
+    rows = triage.with_signals(rows, confidence(), bursts(m))
+    rows = triage.with_dossier(triage.final_verdict(triage.decide_cases(rows)))
+    return rows.select(
+        "return_id", "fraud_probability", "rule_score", "combined_score", "base_value", "deciding_signal",
+        "verdict", F.array_join(F.transform("attributions", lambda a: a["feature"]), ",").alias("top_features"), "dossier",
+    )
+
+
+# --- stored and read back --------------------------------------------------------
+
+
+@query
+def csv_export(m):
+    path = new_path(m.spark)
+    files.write_csv(m.orders, path)
+    return m.spark.read.schema(m.orders.schema).option("header", True).csv(path)
+
+
+@query
+def split_export(m):
+    path = new_path(m.spark)
+    files.write_split(evaluate.temporal_split(labelled(m)).select("return_id", "target", "split"), path)
+    return m.spark.read.parquet(path).select("return_id", "target", F.col("split").cast("string").alias("split"))
+
+
+@query
+def index_round_trip(m):
+    path = new_path(m.spark)
+    retrieval.save_index(document_index(m), path)
+    index = retrieval.load_index(m.spark, path)
+    return index.terms.select("term", "df", F.lit(index.chunks).alias("chunks"))
+
+
+@query
+def decision_log(m):
+    """Two appends and some broken lines, read back."""
+    path = new_path(m.spark)
+    rows = documented(m).withColumn("confidence", F.col("confidence").cast("string"))
+    records = texts.audit_record(rows, triage.case_record_fields(rows), F.lit("2024-01-01 00:00:00"))
+    even = F.pmod(F.hash("return_id"), F.lit(2)) == 0
+    files.append_decisions(records.where(even), path)
+    files.append_decisions(records.where(~even), path)
+    m.returns.select(F.concat(F.lit('{"return_id": "'), "return_id").alias("value")).write.mode("append").text(path)
+    log = files.read_decision_log(m.spark, path)
+    return log.select("return_id", "outputs.verdict", "inputs.rule_score")
+
+
+@query
+def batch_run(m):
+    """Two batches over the newest returns, as the log and the queue hold them."""
+
+    def decide(tables):
+        rows = triage.cases(tables, m.hot_users).join(
+            m.scored.select("return_id", F.col("fraud_probability").alias("risk_score")), "return_id"
+        )
+        rows = triage.decide_cases(triage.with_signals(rows, confidence(), bursts(m)))
+        return triage.with_dossier(triage.final_verdict(rows).withColumn("fraud_probability", F.col("risk_score")))
+
+    log, queue = new_path(m.spark), new_path(m.spark)
+    for n in (120, 80):
+        backlog.run_batch(m.tables, log, queue, n, decide, "2024-01-01 00:00:00", probes(m))
+    queued = files.read_decision_log(m.spark, queue).select("return_id", F.lit(1).alias("queued"))
+    return files.read_decision_log(m.spark, log).join(queued, "return_id", "left").select(
+        "return_id", "outputs.verdict", F.coalesce("queued", F.lit(0)).alias("queued"),
+        F.get_json_object("inputs.case_data", "$.image_path").alias("image_path"),
+    )
+
+
+@query
+def single_case(m):
+    """The newest return by its id, decided."""
+    newest = m.returns.orderBy(F.desc("return_request_date"), "return_id").first()["return_id"]
+    case = triage.one_case(triage.final_verdict(decided(m)), newest)
+    return case.select("return_id", *ALL_FEATURES, "rule_score", "deciding_signal", "verdict")
+
+
 # --- flagship ------------------------------------------------------------------
 
 

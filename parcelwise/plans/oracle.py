@@ -230,7 +230,7 @@ FROM m_features f LEFT JOIN (
 SELECT *, CAST({' + '.join(f'CAST({c} AS INTEGER)' for c in [
     'risk_score BETWEEN 0.3 AND 0.7', 'evidence_missing', 'policy_ambiguous',
     '(order_value > 50000 AND evidence_missing)', 'evidence_inconsistent', 'confidence < 0.7',
-    '(hard_signals = 1 AND NOT policy_violation)'])} AS BIGINT) AS escalation_count
+    '(hard_signals = 1 AND NOT policy_violation)', 'rule_escalation'])} AS BIGINT) AS escalation_count
 FROM (SELECT f.*,
   CAST(50 + (product_id * 31 + seller_id * 17 + user_id) % 51 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence,
   hard_rule_triggered = 1 AS policy_violation,
@@ -240,15 +240,16 @@ FROM (SELECT f.*,
   CAST(list_contains(ids, 'R1') AS INTEGER) + CAST(list_contains(ids, 'R3') AS INTEGER) AS hard_signals,
   CAST(list_contains(ids, 'R5') AS INTEGER) + CAST(list_contains(ids, 'R6') AS INTEGER) + CAST(list_contains(ids, 'R7') AS INTEGER) AS behaviour_flags,
   reason_category = 'changed_mind' AS text_flag,
+  list_has_any(ids, ['R1', 'R4', 'R8']) OR g.units IS NOT NULL AS rule_escalation,
   CAST(coalesce(p.prior_fraud, 0) AS BIGINT) AS prior_fraud
-FROM m_ruled f LEFT JOIN (
+FROM m_ruled f LEFT JOIN m_burst g USING (user_id, product_id, return_request_date) LEFT JOIN (
   SELECT a.return_id, count(*) AS prior_fraud FROM m_star a JOIN m_star b
   ON a.user_id = b.user_id AND b.label = 'fraud' AND {PRIOR} GROUP BY 1) p USING (return_id))""",
     "m_verdicts": """
-SELECT *, CASE WHEN escalation_count > 0 THEN 'Escalate'
+SELECT *, CASE WHEN escalation_count > 0 OR confidence <= 0.95 THEN 'Escalate'
     WHEN policy_violation THEN 'Auto-Reject'
-    WHEN risk_score > 0.7 AND hard_signals >= 2 AND confidence > 0.95 THEN 'Auto-Reject'
-    WHEN risk_score < 0.3 AND confidence > 0.95 THEN 'Auto-Approve' ELSE 'Escalate' END AS verdict,
+    WHEN risk_score > 0.7 AND hard_signals >= 2 THEN 'Auto-Reject'
+    WHEN risk_score < 0.3 THEN 'Auto-Approve' ELSE 'Escalate' END AS verdict,
   CAST(account_age_days > 1095 AND return_to_order_ratio < 0.05 AND prior_fraud = 0 AND order_value < 10000
     AND text_flag AND behaviour_flags = 0 AND risk_score < 0.3
     AND NOT (list_contains(ids, 'R1') OR list_contains(ids, 'R3') OR list_contains(ids, 'R4')) AS BIGINT) AS trusted_override,
@@ -409,7 +410,9 @@ SELECT return_id,
   CASE WHEN n > 0 AND (seller_id + n) % 3 = 2 THEN reason_category || ' text' END AS custom_reason
 FROM (SELECT *, days_left_to_return % 3 AS n FROM m_requests)""",
     "drop_internal": "SELECT * FROM m_orders",
-    "parse_dates": "SELECT order_id, CASE WHEN user_id % 7 <> 5 THEN order_date END AS order_date FROM m_orders",
+    "parse_dates": """
+SELECT order_id, CASE WHEN user_id % 11 = 10 THEN NULL WHEN user_id % 11 = 3 AND day(order_date) <= 12
+    THEN make_date(year(order_date), day(order_date), month(order_date)) ELSE order_date END AS order_date FROM m_orders""",
     "star_join": f"SELECT {STAR_COLUMNS} FROM m_star",
     "base_features": "SELECT return_id, account_creation_date, days_since_delivered, return_to_order_ratio FROM m_features",
     "recency_features": "SELECT return_id, prev_return_date, days_since_last_return FROM m_features",
@@ -634,7 +637,7 @@ FROM m_requests""",
 SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
   CAST(count(*) {B} AS passages FROM m_fused JOIN documents ON doc_id = chunk_id GROUP BY 1""",
     "chunk_documents": f"""
-SELECT source, CAST(0 {B} AS section_no, part_no, text, left(split_part(text, chr(10), 1), 80) AS section FROM (
+SELECT source, CAST(0 {B} AS section_no, part_no, source || '/0/' || part_no AS chunk_id, text, left(split_part(text, chr(10), 1), 80) AS section FROM (
   SELECT source, CAST(part_no {B} AS part_no, trim(string_agg(p, chr(10) ORDER BY i), {SPACES}) AS text,
     part_no = max(part_no) OVER (PARTITION BY source) AS last
   FROM m_packed JOIN m_paragraphs USING (source, i) GROUP BY 1, 2, m_packed.part_no
@@ -648,6 +651,21 @@ SELECT return_id, category AS category_str, reason_category AS reason_category_s
   {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in NUMERIC_FEATURES)},
   {', '.join(f"CAST(CASE WHEN {c} IN (SELECT {c} FROM m_train) THEN (SELECT count(DISTINCT t.{c}) FROM m_train t WHERE t.{c} < f.{c}) ELSE -1 END AS FLOAT) AS {c}" for c in CATEGORICAL_FEATURES)},
   target, split FROM m_features f JOIN (SELECT return_id, split FROM m_split) USING (return_id)""",
+    "model_codes": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", a.{c} AS value, CAST(count(b.{c}) {B} AS code FROM (SELECT DISTINCT {c} FROM m_train) a LEFT JOIN (SELECT DISTINCT {c} FROM m_train) b ON b.{c} < a.{c} GROUP BY 1, 2"
+        for c in ("category", "reason_category", "return_type")
+    ),
+    "csv_export": "SELECT * FROM m_orders",
+    "split_export": "SELECT return_id, target, split FROM m_split",
+    "index_round_trip": f"SELECT term, CAST(df {B} AS df, CAST((SELECT count(*) FROM documents) {B} AS chunks FROM m_terms",
+    "decision_log": "SELECT return_id, verdict, rule_score FROM m_final",
+    "batch_run": f"""
+SELECT return_id, verdict, CAST(verdict = 'Escalate' {B} AS queued,
+  CASE WHEN n > 0 AND (product_id + n) % 2 = 0 THEN 'img/' || return_id || '-' || n || '.jpg' END AS image_path
+FROM (SELECT *, days_left_to_return % 3 AS n FROM m_final ORDER BY return_request_date DESC, return_id LIMIT 200)""",
+    "single_case": f"""
+SELECT return_id, {', '.join(ALL_FEATURES)}, rule_score, {SIGNAL} AS deciding_signal, verdict
+FROM m_final ORDER BY return_request_date DESC, return_id LIMIT 1""",
     "rrf_fuse": "SELECT query_id, chunk_id, round(fused, 5) AS rrf_score, rank FROM m_fused",
     "_fused": f"""
 SELECT query_id, chunk_id, fused, rank FROM (
@@ -691,6 +709,10 @@ SELECT low + above * (high - low) / 64 AS low, low + (above + 1) * (high - low)
 CTES["m_daily"] = f"""
 SELECT user_id, product_id, return_request_date, CAST(count(*) {B} AS units FROM m_requests
 WHERE order_value > 10000 GROUP BY 1, 2, 3"""
+CTES["m_burst"] = """
+SELECT a.user_id, a.product_id, a.return_request_date, sum(b.units) AS units FROM m_daily a JOIN m_daily b
+  ON a.user_id = b.user_id AND a.product_id = b.product_id AND date_diff('day', b.return_request_date, a.return_request_date) BETWEEN 0 AND 6
+GROUP BY 1, 2, 3 HAVING sum(b.units) >= 3"""
 CTES["m_last_day"] = f"""
 SELECT *, CAST(days_left_to_return = 0 AND within_return_window = 1 {B} AS is_last_day FROM m_requests"""
 

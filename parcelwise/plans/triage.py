@@ -8,7 +8,7 @@ from parcelwise.config import PolicyParams, RuleParams, ScoringParams
 from parcelwise.functions.columns import yes
 from parcelwise.operators.features import full_features
 from parcelwise.operators.policy import (
-    boundary_escalation, decide, deciding_signal, risk_band, trusted_override,
+    boundary_escalation, decide, deciding_signal, risk_band, same_item_burst, trusted_override,
 )
 from parcelwise.operators.rules import fired, with_rules
 from parcelwise.operators.scoring import combined_score
@@ -46,8 +46,22 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("faults = ''").drop("faults"), checked.where("faults <> ''")
 
 
-def with_signals(df: DataFrame, confidence: Column) -> DataFrame:
-    """Policy inputs of `decide` from features, rule hits and a risk_score column."""
+BURST_KEYS = ["user_id", "product_id", "return_request_date"]
+
+
+def burst_days(requests: DataFrame, policy: PolicyParams = PolicyParams()) -> DataFrame:
+    """Users, products and days with a burst of returns of one item: few rows."""
+    return same_item_burst(requests, policy).where("burst = 1").select(BURST_KEYS)
+
+
+def with_signals(df: DataFrame, confidence: Column, bursts: DataFrame | None = None) -> DataFrame:
+    """Policy inputs of `decide` from features, rule hits and a risk_score column.
+
+    bursts: stored rows of `burst_days`; without them they are found among the cases,
+    which then must hold all returns of their users.
+    """
+    marked = (burst_days(df) if bursts is None else bursts).withColumn("burst", F.lit(1))
+    df = df.join(marked, BURST_KEYS, "left")
     needs_photo = F.col("reason_category").isin(*PHOTO_REASONS)
     flags = {
         "confidence": confidence,
@@ -63,6 +77,10 @@ def with_signals(df: DataFrame, confidence: Column) -> DataFrame:
         ),
         "behaviour_flags": yes(fired("R5")) + yes(fired("R6")) + yes(fired("R7")),
         "text_flag": yes(F.col("reason_category") == "changed_mind"),
+        "burst": yes(F.col("burst") == 1),
+        "rule_escalation": yes(
+            fired("R1") | fired("R2") | fired("R4") | fired("R8") | F.col("burst").isNotNull()
+        ),
     }
     out = df.withColumns(flags)
     return out.withColumn("hard_signals", F.col("r1") + F.col("r3"))
@@ -89,7 +107,8 @@ def final_verdict(df: DataFrame) -> DataFrame:
     """Apply the two account rules on top of `decide_cases`.
 
     A one-day-late request of a trusted account goes to a person. A trusted account
-    whose only flag is minor is approved when nothing else asks for a person.
+    whose only flag is minor is approved when no escalation condition holds, also below
+    the confidence for other automatic decisions, which the flag itself lowers.
     """
     late = F.col("boundary_escalation") == 1
     trusted = (

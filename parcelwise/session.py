@@ -53,6 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/parcelwise-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -61,14 +68,13 @@ def durable(df: DataFrame) -> DataFrame:
     pruning, and its file size lets Spark itself choose or refuse a broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parcelwise-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables `durable` wrote in this process. Frames that read them end too."""
+    """Delete what this process wrote at paths of `new_path`, as `durable` does. Frames that read them end too."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

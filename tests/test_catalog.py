@@ -106,6 +106,20 @@ def test_dates_in_mixed_formats(spark):
     assert got == [date(2024, 2, 29)] * 6 + [None] * 3
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("05-01-2024", date(2024, 5, 1)), ("13-01-2024", date(2024, 1, 13)), ("1/5/2024", date(2024, 1, 5)),
+        ("2024-1-5", date(2024, 1, 5)), ("Jan 5, 2024", date(2024, 1, 5)), ("5 January 2024", date(2024, 1, 5)),
+        ("2024-01-05T01:02:03.456+05:30", date(2024, 1, 5)), ("20240105", date(2024, 1, 5)), ("13/13/2024", None),
+        ("5 Jam 2024", None), ("2024-01/05", None), ("2024-01-05 noon", None),
+    ],
+)
+def test_one_date(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(parse_date(F.col("t"))).first()[0] == want
+
+
 def test_blank_to_null(spark):
     df = spark.createDataFrame([(" x ",), ("\t\n",), ("",), ("　",), (None,)], "t string")
     assert [r[0] for r in df.select(blank_to_null(F.col("t"))).collect()] == ["x", None, None, None, None]

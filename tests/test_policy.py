@@ -9,12 +9,13 @@ from parcelwise.operators import policy
 
 BASE = dict(
     risk_score=0.1, confidence=0.99, order_value=100.0, evidence_missing=0, evidence_inconsistent=0,
-    policy_ambiguous=0, policy_violation=0, policy_ok=1, hard_signals=0, behaviour_flags=0, text_flag=0,
+    policy_ambiguous=0, policy_violation=0, policy_ok=1, hard_signals=0, behaviour_flags=0, text_flag=0, rule_escalation=0,
 )
 
 
 def one(spark, **change):
-    return spark.createDataFrame([{**BASE, **change}])
+    rows = [{**BASE, **change}, BASE]  # the second row gives columns of null their type
+    return spark.createDataFrame(rows).limit(1)
 
 
 @pytest.mark.parametrize(
@@ -31,6 +32,12 @@ def one(spark, **change):
         ({"risk_score": 0.71, "hard_signals": 1, "policy_violation": 1}, "Auto-Reject"),
         ({"policy_violation": 1, "policy_ok": 0}, "Auto-Reject"),
         ({"policy_violation": 1, "policy_ok": 0, "confidence": 0.69}, "Escalate"),
+        ({"policy_violation": 1, "policy_ok": 0, "confidence": 0.95}, "Escalate"),
+        ({"policy_violation": 1, "policy_ok": 0, "risk_score": 0.5}, "Escalate"),
+        ({"policy_violation": 1, "policy_ok": 0, "rule_escalation": 1}, "Escalate"),
+        ({"risk_score": 0.71, "hard_signals": 2, "rule_escalation": 1}, "Escalate"),
+        ({"rule_escalation": 1}, "Escalate"),
+        ({"confidence": None}, "Escalate"),
         ({"confidence": 0.95}, "Escalate"),
         ({"confidence": 0.6999}, "Escalate"),
         ({"evidence_missing": 1}, "Escalate"),
