@@ -63,8 +63,11 @@ def parse_date(column: Column) -> Column:
     Year first; else month first, and day first only where the month is impossible; or
     with the month's name. A time, fraction or zone may follow and is dropped.
     """
-    text = strip(column.cast("string"))
+    # Bound as a lambda variable, so that the text is computed once for all forms.
+    return F.transform(F.array(strip(column.cast("string"))), _date_of)[0]
 
+
+def _date_of(text: Column) -> Column:
     def found(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
         part = lambda i: F.nullif(F.regexp_extract(text, "(?i)" + pattern + CLOCK, i), F.lit(""))
         number = part(month).cast("int")
