@@ -314,6 +314,32 @@ def policy_query(df: DataFrame) -> Column:
     )
 
 
+def case_policies(
+    cases: DataFrame, chunks: DataFrame, index: LexicalIndex, params: RetrievalParams = RetrievalParams()
+) -> DataFrame:
+    """return_id, retrieved_clause, policy_source, policy_passages: the best chunks for the
+    query text of each case; null where no chunk shares a word with it.
+
+    Few distinct texts cover all cases. Each is searched once, and the stored answers
+    are joined back by text. chunks: chunk_id, source, section, text, as indexed.
+    """
+    asked = cases.select("return_id", policy_query(cases).alias("query"))
+    texts = durable(asked.select("query").distinct())
+    hits = bm25_topk(texts.select(F.col("query").alias("query_id"), "query"), index, params.top_k, params)
+    found = hits.join(chunks.select("chunk_id", "source", "section", "text"), "chunk_id")
+    # At most top_k rows for each text.
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "section", "source", "text")))
+    answers = durable(
+        found.groupBy(F.col("query_id").alias("query")).agg(ranked.alias("best")).select(
+            "query",
+            F.col("best")[0]["section"].alias("retrieved_clause"),
+            F.col("best")[0]["source"].alias("policy_source"),
+            F.transform("best", lambda b: b["text"]).alias("policy_passages"),
+        )
+    )
+    return asked.join(answers, "query", "left").drop("query")
+
+
 def policy_context(fused: DataFrame, chunks: DataFrame) -> DataFrame:
     """The retrieved texts of each query (at most top_k) joined in rank order."""
     hits = fused.join(chunks.select("chunk_id", "source", "text"), "chunk_id")

@@ -765,12 +765,31 @@ def policy_context(m):
     return retrieval.policy_context(fused(m), whole_documents(m))
 
 
-@query
-def chunk_documents(m):
+def chunks(m: Mart) -> DataFrame:
     docs = m.raw("documents").select(F.col("doc_id").alias("source"), "text")
     return retrieval.chunk_documents(docs, paragraph_mark="\n")
 
 
+@query
+def chunk_documents(m):
+    return chunks(m)
+
+
+@lru_cache(maxsize=8)
+def chunk_index(m: Mart) -> retrieval.LexicalIndex:
+    return retrieval.build_index(chunks(m))
+
+
+@query
+def chunk_term_stats(m):
+    return chunk_index(m).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def chunk_search(m):
+    return retrieval.bm25_topk(text_queries(m), chunk_index(m))
+
+
 # --- model ---------------------------------------------------------------------
 
 

@@ -684,6 +684,15 @@ SELECT return_id, category || ' ' || reason_category || ' ' || return_type || '
 FROM m_star""",
 }
 CTES["m_fused"] = RAW.pop("_fused")
+# The index once more, over chunks.
+CTES["m_chunks"] = RAW["chunk_documents"]
+CTES["m_ctokens"] = CTES["m_tokens"].replace("doc_id AS chunk_id", "chunk_id").replace("FROM documents", "FROM m_chunks")
+for name in ("postings", "lengths", "terms", "bm25"):
+    CTES[f"m_c{name}"] = re.sub(
+        r"\bm_(tokens|postings|lengths|terms)\b", r"m_c\1", CTES[f"m_{name}"].replace("FROM documents", "FROM m_chunks")
+    )
+RAW["chunk_term_stats"] = f"SELECT term, CAST(df {B} AS df, round(idf, 6) AS idf FROM m_cterms"
+RAW["chunk_search"] = "SELECT query_id, chunk_id, score, rank FROM m_cbm25"
 CTES["m_train"] = """
 SELECT category, reason_category, return_type FROM m_requests JOIN m_split USING (return_id) WHERE split = 'train'"""
 CTES["m_bodies"] = f"SELECT doc_id AS source, trim(text, {SPACES}) AS body FROM documents"

@@ -123,11 +123,17 @@ def final_verdict(df: DataFrame) -> DataFrame:
 
 
 def with_dossier(df: DataFrame) -> DataFrame:
-    """Add reasoning, evidence and, for escalated cases, the dossier."""
+    """Add policy clause, reasoning, evidence and, for escalated cases, the dossier.
+
+    A retrieved_clause of `case_policies` follows the eligibility in the policy clause.
+    """
     fired_ids = F.array_join(F.transform("triggered_rules", lambda h: h["rule_id"]), ",")
     policy = F.when(F.col("policy_violation") == 1, "return eligibility: not met").otherwise(
         "return eligibility: met"
     )
+    if "retrieved_clause" in df.columns:
+        cited = F.concat(F.lit(" ["), F.col("policy_source").cast("string"), F.lit("] "), F.col("retrieved_clause"))
+        policy = F.concat(policy, F.coalesce(cited, F.lit("")))
     reasoning = F.concat(
         F.lit("Decided by "), F.col("deciding_signal"), F.lit("; risk band "), F.col("risk_band"),
         F.lit("; rules "), F.when(fired_ids == "", "none").otherwise(fired_ids), F.lit("."),

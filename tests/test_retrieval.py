@@ -162,3 +162,19 @@ def test_query_texts(spark):
     assert got[0]["a"] == "Books damaged refund return returnable within return window order value 12.5 days left 3"
     assert "non-returnable outside return window" in got[1]["a"]
     assert got[0]["b"] == "Books damaged return returnable policy"
+
+
+def test_policies_of_cases(spark):
+    docs = spark.createDataFrame(
+        [("a.md", "# Rules\nGeneral words\n## Books returnable\nBooks damaged may be returned"), ("b.md", "## Toys\nnon-returnable Toys policy")],
+        "source string, text string",
+    )
+    chunks = retrieval.chunk_documents(docs)
+    index = retrieval.build_index(chunks)
+    schema = "return_id string, category string, reason_category string, is_non_returnable int"
+    cases = spark.createDataFrame([("1", "Books", "damaged", 0), ("2", "Books", "damaged", 0), ("3", "Toys", "x", 1)], schema)
+    got = {r["return_id"]: (r["retrieved_clause"], r["policy_source"], len(r["policy_passages"])) for r in retrieval.case_policies(cases, chunks, index).collect()}
+    assert got == {"1": ("## Books returnable", "a.md", 2), "2": ("## Books returnable", "a.md", 2), "3": ("## Toys", "b.md", 1)}
+    none = spark.createDataFrame([("4", "Zz", "yy", None)], schema)
+    lost = retrieval.case_policies(none, docs.limit(0).selectExpr("source", "text", "'' section", "'' chunk_id"), index).first()
+    assert lost["retrieved_clause"] is None
