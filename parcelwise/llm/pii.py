@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,8 @@ def _starts(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches of text around starts that no taken span covers; they don't overlap."""
+    """Stretches of text around starts that no taken span covers, as long as starts follow
+    one another, so no span is cut; they don't overlap."""
     out: list[list[int]] = []
     taken = sorted(taken)
     k = 0
@@ -113,13 +115,11 @@ def windows(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if k < len(taken) and taken[k][0] <= a and taken[k][1] >= b:
             continue
         a, b = max(0, a - 40), min(len(text), b + 40)
-        if out and a <= out[-1][1] and b - out[-1][0] <= _OPEN:
+        if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
-        elif out:
-            out.append([max(a, out[-1][1]), b])
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out if b > a]
+    return [(a, b) for a, b in out]
 
 
 def _side(c: str) -> str:
@@ -175,17 +175,25 @@ class Candidates:
         ats = np.cumsum([0] + [text[a:b] == "@" or text[a:b].lower() == "at" for a, b in self.tokens])
         self.segments: list[tuple[int, int]] = []
         rows: list[list[int]] = []
+        held: list[list[int]] = []  # what is taken, without overlaps
+        for x, y in sorted(taken):
+            if held and x <= held[-1][1]:
+                held[-1][1] = max(y, held[-1][1])
+            else:
+                held.append([x, y])
         edge = lambda c: c.isalnum() or c in "+("
         for i, (a, _) in enumerate(self.tokens):
             if not edge(text[a]):
                 continue
+            at = bisect_right(held, a, key=lambda s: s[1])
+            stop = held[at][0] if at < len(held) else math.inf
             for j in range(i, min(i + MAX_TOKENS, len(self.tokens))):
                 b = self.tokens[j][1]
                 if not text[b - 1].isalnum() or text[a] == "\n":
                     continue
                 if digits[j + 1] - digits[i] < 7 and not ats[j + 1] - ats[i]:
                     continue
-                if any(a < y and x < b for x, y in taken):
+                if stop < b:
                     break
                 found = features(text, a, b)
                 self.segments.append((i, j + 1))

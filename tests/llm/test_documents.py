@@ -298,3 +298,17 @@ def test_winnowing_edges(spark):
     one = winnow.compare_edited(rows(spark).where("doc_id = 1")).collect()
     assert one[0].near_next == 1
     assert winnow.fingerprints(rows(spark)).where("doc_id = 1").count() >= 1
+
+
+@pytest.mark.parametrize("line", ["(555) 123-4567", "Jane Doe 555-123-4567 x", "call 555.123.4567 now"])
+def test_spans_in_dense_text_are_whole(line):
+    """Every number of a long list lies whole in one search window."""
+    text = "\n".join([line] * 200)
+    found = pii.windows(text, [])
+    size = len(line) + 1
+    assert all(any(a <= i * size and i * size + len(line) <= b for a, b in found) for i in range(200))
+
+
+def test_dense_text_is_found_whole(field):
+    text = "\n".join(["call 555-123-4567 now"] * 200)
+    assert [text[a:b] for _, a, b in pii.find_spans(text, field)[1]] == ["555-123-4567"] * 200
