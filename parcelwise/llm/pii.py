@@ -84,22 +84,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _token = re.compile(r"[0-9]+|[^\W\d_]+|\n|[^\S\n]+|.", re.S)
-#: What starts a window: an @; `at` in brackets; `at` and soon after it `dot` as words; or
-#: seven digits with at most two other characters between neighbours.
-_number = re.compile(r"[0-9](?:[^0-9\n]{0,2}[0-9]){6,60}")
+#: What starts a window: an @; `at` in brackets; `at` as a word and soon after it a dot, as
+#: a mark in a name, as a word or in brackets; seven digits with at most three other
+#: characters between neighbours; or four short groups of digits with a dot between each two.
+_number = re.compile(r"[0-9](?:[^0-9\n]{0,3}[0-9]){6,60}")
+_groups = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[^0-9\n.]?\.[^0-9\n.]?[0-9]{1,3}){3}(?![0-9])")
 _bracketed = re.compile(r"[(\[{] ?[aA][tT] ?[)\]}]")
-_words = re.compile(r" [aA][tT] [^\n]{1,60}? [dD][oO][tT] ")
-_OPEN = 240
+_words = re.compile(r"(?<=\w) [aA][tT] (?=([^\n]{1,60}?(?:\.\w|[(\[{ ][dD][oO][tT][)\]} ])))")
 
 
 def _starts(text: str) -> list[tuple[int, int]]:
-    out = [m.span() for m in _number.finditer(text)]
+    out = [m.span() for m in _number.finditer(text)] + [m.span() for m in _groups.finditer(text)]
     if "@" in text:
         out += [m.span() for m in re.finditer("@", text)]
     if any(c in text for c in "([{"):
         out += [m.span() for m in _bracketed.finditer(text)]
-    if any(x in text for x in (" dot ", " Dot ", " DOT ")):
-        out += [m.span() for m in _words.finditer(text)]
+    if any(x in text for x in (" at ", " At ", " AT ", " aT ")):
+        out += [(m.start(), m.end(1)) for m in _words.finditer(text)]
     return sorted(out)
 
 
@@ -128,7 +129,7 @@ def _side(c: str) -> str:
 
 _spelt_at = re.compile(r"[(\[{ ]at[)\]} ]", re.I)
 _spelt_dot = re.compile(r"[(\[{ ]dot[)\]} ]", re.I)
-_address = re.compile(r"[\w.%+-]+(?:@|\s?[(\[{]?\s?\bat\b\s?[)\]}]?\s?)[\w-]+(?:(?:\.|\s?[(\[{]?\s?\bdot\b\s?[)\]}]?\s?)[\w-]+)+", re.I)
+_address = re.compile(r"[\w.%+-]+(?:\s?[(\[{]\s?dot\s?[)\]}]\s?[\w.%+-]+)*(?:@|\s?[(\[{]?\s?\bat\b\s?[)\]}]?\s?)[\w-]+(?:(?:\.|\s?[(\[{]?\s?\bdot\b\s?[)\]}]?\s?)[\w-]+)+", re.I)
 
 
 def features(text: str, a: int, b: int) -> list[str]:
@@ -157,8 +158,10 @@ def features(text: str, a: int, b: int) -> list[str]:
         parts = re.split(r"[^0-9]+", span)
         if len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append("four parts")
-        if re.fullmatch(r"(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}", span):
+        if re.fullmatch(r"(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:(?: - |[ .-])?[0-9]{2,4}){2,4}", span):
             out.append("phone shape")
+        if n >= 10 and span.startswith("00"):
+            out.append("opens:00")
         if span[0] in "+(":
             out.append("opens:" + span[0])
         if "\n" in span:
@@ -173,6 +176,7 @@ class Candidates:
         self.tokens = [(start + m.start(), start + m.end()) for m in _token.finditer(text[start:end])]
         digits = np.cumsum([0] + [b - a if text[a].isdigit() else 0 for a, b in self.tokens])
         ats = np.cumsum([0] + [text[a:b] == "@" or text[a:b].lower() == "at" for a, b in self.tokens])
+        groups, dots, letters = (np.cumsum([0] + [fits(text[a]) for a, _ in self.tokens]) for fits in (str.isdigit, ".".__eq__, str.isalpha))
         self.segments: list[tuple[int, int]] = []
         rows: list[list[int]] = []
         held: list[list[int]] = []  # what is taken, without overlaps
@@ -192,7 +196,8 @@ class Candidates:
                 if not text[b - 1].isalnum() or text[a] == "\n":
                     continue
                 if digits[j + 1] - digits[i] < 7 and not ats[j + 1] - ats[i]:
-                    continue
+                    if (groups[j + 1] - groups[i], dots[j + 1] - dots[i], letters[j + 1] - letters[i]) != (4, 3, 0):
+                        continue
                 if stop < b:
                     break
                 found = features(text, a, b)
@@ -262,9 +267,9 @@ def _rewritten(kind: str, span: str) -> list[str]:
     digits = _not_digit.sub("", span)
     if kind == "phone":
         area, first, last = digits[-10:-7], digits[-7:-4], digits[-4:]
-        return ["-".join((area, first, last)), ".".join((area, first, last)), f"({area}) {first}-{last}", f"({area}) {first} {last}", "00" + digits]
+        return ["-".join((area, first, last)), ".".join((area, first, last)), f"({area}) {first}-{last}", f"({area}) {first} {last}", " - ".join((area, first, last)), "00" + digits]
     if kind == "card":
-        return [by.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for by in ("-", " ", ".")]
+        return [by.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for by in ("-", " ", ".", " - ")]
     return [span.replace(".", by) for by in ("[.]", " . ")]
 
 

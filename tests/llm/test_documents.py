@@ -312,3 +312,17 @@ def test_spans_in_dense_text_are_whole(line):
 def test_dense_text_is_found_whole(field):
     text = "\n".join(["call 555-123-4567 now"] * 200)
     assert [text[a:b] for _, a, b in pii.find_spans(text, field)[1]] == ["555-123-4567"] * 200
+
+
+REWRITTEN = [(k, x) for k, span in (("email", "jane.roe@example.com"), ("phone", "+1 (743) 555-3824"), ("card", "4465758382889437"), ("ip", "192.168.10.20"), ("ip", "8.8.8.8")) for x in pii._rewritten(k, span)]
+
+
+@pytest.mark.parametrize("kind, span", [*REWRITTEN, ("email", "jane at example [dot] com"), ("email", "jane at example(dot)com"), ("phone", "555 - 123 - 4567"), ("card", "4111 - 1111 - 1111 - 1111")])
+def test_each_rewrite_opens_a_window(field, kind, span):
+    text = f"They said that the answer would be sent to {span} before the end of it."
+    start = text.index(span)
+    assert any(a <= start and start + len(span) <= b for a, b in pii.windows(text, []))
+    c = pii.Candidates(text, 0, len(text), field.names, False)
+    assert (start, start + len(span)) in {(c.tokens[i][0], c.tokens[j - 1][1]) for i, j in c.segments}
+    base, more = pii.find_spans(text, field)
+    assert any(a < start + len(span) and start < b for _, a, b in base + more), more
