@@ -326,3 +326,11 @@ def test_each_rewrite_opens_a_window(field, kind, span):
     assert (start, start + len(span)) in {(c.tokens[i][0], c.tokens[j - 1][1]) for i, j in c.segments}
     base, more = pii.find_spans(text, field)
     assert any(a < start + len(span) and start < b for _, a, b in base + more), more
+
+
+def test_bands_follow_the_spread(spark):
+    """The bands have no fixed floor: shuffled letters fall out of a narrow language."""
+    path = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    got = perplexity.judge(documents).where("not base_failed").join(labels, "doc_id").toPandas()
+    assert (~got.kept[got.quality == 0]).mean() > 0.2 and (~got.kept[got.quality == 1]).mean() < 0.03
