@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parcelwise.llm.common import blocks
 
 K = 16
-WINDOW = 64
+#: Texts that share 23 characters share a hash.
+WINDOW = 8
 BASE = 0x100000001B3 | 1 << 45
 #: Documents in a range of neighbours, about.
 RANGE_ROWS = 5_000

@@ -334,3 +334,11 @@ def test_bands_follow_the_spread(spark):
     documents, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
     got = perplexity.judge(documents).where("not base_failed").join(labels, "doc_id").toPandas()
     assert (~got.kept[got.quality == 0]).mean() > 0.2 and (~got.kept[got.quality == 1]).mean() < 0.03
+
+
+def test_halves_of_short_texts_are_recognised():
+    """A kept half of 23 characters leaves a hash, whatever follows."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        half, other, rest = ("".join(rng.choice(list("abcdefghij "), size=n)) for n in (23, 23, 60))
+        assert np.intersect1d(winnow.winnow(half + other)[0], winnow.winnow(half + rest)[0]).size
