@@ -47,18 +47,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
-def postings(texts: list[list[bytes]]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """(term, positions) of the texts, numbered through with a gap of one between two."""
+def postings(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The terms of the texts, all their positions term by term, and where each term's end.
+
+    Words are numbered through all texts with a gap of one between two."""
     ids = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
     sizes = np.array([len(t) for t in texts], np.int64)
     word = np.fromiter(map(ids.__getitem__, chain.from_iterable(texts)), np.int32, int(sizes.sum()))
     at = np.arange(len(word)) + np.repeat(np.arange(len(texts)), sizes)
+    wide = len(word) + len(texts) >= 1 << 32
     order = np.argsort(word, kind="stable")
-    counts = np.bincount(word, minlength=len(ids))
-    ends = np.cumsum(counts)
-    at = at[order].astype("<u4" if len(at) + len(texts) < 1 << 32 else "<u8")
-    for term, a, b in zip(ids, (ends - counts).tolist(), ends.tolist(), strict=True):
-        yield term, at[a:b]
+    return list(ids), at[order].astype("<u8" if wide else "<u4"), np.cumsum(np.bincount(word, minlength=len(ids)))
 
 
 def build_index(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -80,15 +79,18 @@ def build_index(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
             counts = pa.array([[len(w) for w in words]], pa.list_(pa.int64()))
             columns = [pa.array([segment]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), head, counts]
             yield pa.RecordBatch.from_arrays(columns, names)
-            found = list(postings(words))
-            for i in range(0, len(found), 20_000):
-                some = found[i : i + 20_000]
-                n = len(some)
+            terms, places, ends = postings(words)
+            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            for i in range(0, len(terms), 20_000):
+                some = terms[i : i + 20_000]
+                n, a, b = len(some), int(starts[i]), int(ends[i + len(some) - 1])
+                offsets = (np.append(starts[i : i + n], b) - a) * places.itemsize
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(places[a:b])])
                 columns = [
                     pa.array(np.full(n, segment)),
-                    pa.array([t for t, _ in some], pa.binary()).cast(pa.string()),
-                    pa.array([p.itemsize for _, p in some], pa.int32()),
-                    pa.array([p.tobytes() for _, p in some], pa.binary()),
+                    pa.array(some, pa.binary()).cast(pa.string()),
+                    pa.array(np.full(n, places.itemsize, np.int32)),
+                    lists.cast(pa.binary()),
                     pa.nulls(n, head.type),
                     pa.nulls(n, counts.type),
                 ]

@@ -150,12 +150,12 @@ def test_query_and_sql(spark, data):
 def test_edges(spark):
     table = rows(spark)
     b = [(1, "quick brown fox number 7 jumps over it the quick brown"), (1, "Some Words"), (2, None), (3, " - "), (None, "漢字"), (4, "of some words of some words of some words of some")]
-    items = spark.createDataFrame(b, "item_id long, text string").withColumn("segment", table.sparkSession.range(1).selectExpr("7").first()[0] * px.F.lit(1))
+    items = spark.createDataFrame(b, "item_id long, text string").withColumn("segment", px.F.lit(7))
     got = px.contamination(table, items).collect()
     assert len(got) == 9
     by = {r.doc_id: r for r in got}
     assert by[1].n_hit == 2 and by[1].n_items == 1 and by[2].n_words == by[3].n_words == by[7].n_words == 0
-    assert by[4].n_words == 9 * 6000 and by[4].n_hit == 9 * 6000 - 2 and not by[2].contaminated
+    assert by[4].n_words == 9 * 6000 and by[4].n_hit == 9 * 6000 - 7 and not by[2].contaminated
     assert by[8].n_hit == 9 and by[8].n_items == 0 and sum(r.doc_id == 5 for r in got) == 2
     assert not any(r.contaminated for r in px.contamination(table, items.limit(0)).collect())
     assert px.contamination(none(spark), items).count() == 0
