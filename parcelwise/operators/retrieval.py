@@ -258,7 +258,8 @@ def vector_topk(
     blocks, shards = -(-asked.count() // block), -(-source.count() // shard)
     if not blocks or not shards:
         return top_n(queries.sparkSession.createDataFrame([], schema), ["query_id"], [F.desc("score"), "chunk_id"], n, "rank")
-    part = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts))
+    # Both sides need keys of one type, else no groups meet.
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = source.select("chunk_id", "embedding", part("chunk_id", shards).alias("shard"), every(blocks).alias("block"))
     right = asked.select("query_id", "embedding", part("query_id", blocks).alias("block"), every(shards).alias("shard"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from parcelwise.config import ALL_FEATURES, ModelParams, PROBE_TARGETS
 from parcelwise.functions.columns import parse_date, ratio, yes
-from parcelwise.operators import catalog, evaluate, ml, policy, profile, retrieval, rules, scoring
+from parcelwise.operators import catalog, evaluate, ml, policy, profile, retrieval, rules, scoring, vector_index
 from parcelwise.operators import state as user_state
 from parcelwise.operators import text as texts
 from parcelwise.operators.features import (
@@ -706,15 +706,9 @@ def text_queries(m: Mart) -> DataFrame:
 
 
 def vector_queries(m: Mart) -> DataFrame:
-    """One unit vector per label: the mean direction of its embeddings."""
-    dims = m.raw("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = dims.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = mean.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")
-    )
-    values = F.transform("v", lambda p: p["x"])
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("query_id", F.transform(values, lambda x: x / norm).alias("embedding"))
+    """The embeddings whose id is divisible by 20, asked against all."""
+    chosen = m.raw("embeddings").where("vec_id % 20 = 0")
+    return chosen.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vectors(m: Mart) -> DataFrame:
@@ -736,13 +730,33 @@ def vector_topk(m):
     return retrieval.vector_topk(vector_queries(m), vectors(m))
 
 
+@lru_cache(maxsize=8)
+def cell_index(m: Mart) -> vector_index.CellIndex:
+    return vector_index.build_cells(vectors(m))
+
+
+@query
+def pruned_vector_topk(m):
+    return vector_index.pruned_topk(vector_queries(m), cell_index(m))
+
+
+@query
+def pruned_vector_recall(m):
+    """What the pruned search finds of the exhaustive one, and how many pairs it scores."""
+    exact = retrieval.vector_topk(vector_queries(m), vectors(m))
+    found = vector_index.pruned_topk(vector_queries(m), cell_index(m))
+    work = vector_index.search_work(vector_queries(m), cell_index(m))
+    # One row each.
+    return vector_index.recall(found, exact).withColumn("one", F.lit(1)).join(work.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def fused(m: Mart) -> DataFrame:
-    """Each text query goes with the vector of label item_id % 10; documents and
-    embeddings share their ids."""
+    """Each text query goes with a vector of its own, that of vec_id 20 * item_id if there is
+    one; documents and embeddings share their ids."""
     lexical = retrieval.bm25_topk(text_queries(m), document_index(m))
-    near = retrieval.vector_topk(vector_queries(m), vectors(m)).withColumnRenamed("query_id", "label")
-    items = text_queries(m).select("query_id", (F.col("query_id") % 10).alias("label"))
-    return retrieval.rrf_fuse(lexical, items.join(near, "label"))
+    near = retrieval.vector_topk(vector_queries(m), vectors(m)).withColumn("item", F.expr("query_id div 20")).drop("query_id")
+    items = text_queries(m).select("query_id")
+    return retrieval.rrf_fuse(lexical, items.join(near, items["query_id"] == near["item"]).drop("item"))
 
 
 @query

@@ -292,13 +292,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
   GROUP BY 1, 2) WHERE score > 0) WHERE rank <= 20""",
     "m_near": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT query_id, vec_id AS chunk_id, round(sum(x * y), 6) AS score FROM (
-    SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-  JOIN (SELECT label AS query_id, i, mean / sqrt(sum(mean * mean) OVER (PARTITION BY label)) AS y FROM (
-    SELECT label, i, avg(x) AS mean FROM (
-      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-    GROUP BY 1, 2)) USING (i)
-  GROUP BY 1, 2)) WHERE rank <= 20""",
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id,
+    round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 20""",
 }
 
 
@@ -672,7 +668,7 @@ SELECT query_id, chunk_id, fused, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, lexical_rank NULLS LAST, chunk_id) AS rank FROM (
     SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS lexical_rank,
       coalesce(CAST(1 AS DOUBLE) / (60 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rank), 0) AS fused
-    FROM m_bm25 a FULL JOIN (SELECT item_id AS query_id, chunk_id, rank FROM benchmark JOIN m_near ON item_id % 10 = query_id) b
+    FROM m_bm25 a FULL JOIN (SELECT item_id AS query_id, chunk_id, rank FROM benchmark JOIN m_near ON item_id * 20 = query_id) b
       ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)) WHERE rank <= 5""",
     "policy_query_text": """
 SELECT return_id, category || ' ' || reason_category || ' ' || return_type || ' return '
