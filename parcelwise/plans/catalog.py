@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from parcelwise.config import ALL_FEATURES, ModelParams, PROBE_TARGETS
 from parcelwise.functions.columns import parse_date, ratio, yes
-from parcelwise.operators import catalog, evaluate, ml, policy, profile, retrieval, rules, scoring, vector_index
+from parcelwise.operators import block_max, catalog, evaluate, ml, policy, profile, retrieval, rules, scoring, vector_index
 from parcelwise.operators import state as user_state
 from parcelwise.operators import text as texts
 from parcelwise.operators.features import (
@@ -725,6 +725,21 @@ def bm25_topk(m):
     return retrieval.bm25_topk(text_queries(m), document_index(m))
 
 
+@lru_cache(maxsize=8)
+def document_tiles(m: Mart) -> block_max.TileIndex:
+    return block_max.build_tiles(document_index(m))
+
+
+@query
+def pruned_bm25_topk(m):
+    return block_max.pruned_bm25(text_queries(m), document_tiles(m))
+
+
+@query
+def pruned_bm25_work(m):
+    return block_max.search_work(text_queries(m), document_tiles(m))
+
+
 @query
 def vector_topk(m):
     return retrieval.vector_topk(vector_queries(m), vectors(m))

@@ -628,6 +628,7 @@ SELECT return_id, CAST(CASE product_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 3 TH
 FROM m_requests""",
     "term_stats": f"SELECT term, CAST(df {B} AS df, round(idf, 6) AS idf FROM m_terms",
     "bm25_topk": "SELECT query_id, chunk_id, score, rank FROM m_bm25",
+    "pruned_bm25_topk": "SELECT query_id, chunk_id, score, rank FROM m_bm25",
     "vector_topk": f"SELECT CAST(query_id {B} AS query_id, chunk_id, score, rank FROM m_near",
     "policy_context": f"""
 SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
