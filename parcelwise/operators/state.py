@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelwise.functions.columns import from_money, money
 from parcelwise.operators.scale import Timeline
+from parcelwise.session import durable
 
 WALK_ORDER = ["order_date", "return_request_date", "return_id"]
 WALK_CUT = ["order_date", "return_request_date"]
 REQUEST_ORDER = ["return_request_date", "order_date", "return_id"]
 REQUEST_CUT = ["return_request_date", "order_date"]
 RECENT_DAYS = 30
+#: Users with more (order day, request day) cells are cut into blocks of so many order days.
+MIN_BLOCK_CELLS = 20_000
+BLOCK_DAYS = 32
 
 
 def as_of_state(requests: DataFrame, orders: DataFrame) -> DataFrame:
@@ -75,28 +79,64 @@ def as_of_state(requests: DataFrame, orders: DataFrame) -> DataFrame:
     ).drop("_orders", "_value_e4", "_fallback")
 
 
-def _excluded_by_cell(cells: pd.DataFrame) -> pd.DataFrame:
-    """Per (order day, request day) cell of one user: rows earlier in the walk whose
-    request is more than RECENT_DAYS before the cell's request."""
-    cells = cells.sort_values(["order_day", "request_day"], kind="stable")
-    request = cells["request_day"].to_numpy()
-    n = cells["n"].to_numpy()
-    days, slot = np.unique(request, return_inverse=True)
-    seen = np.zeros(len(days), dtype="int64")
-    limit = np.searchsorted(days, request - RECENT_DAYS, side="left")
-    excluded = np.empty(len(cells), dtype="int64")
-    for i in range(len(cells)):
-        excluded[i] = seen[: limit[i]].sum()
-        seen[slot[i]] += n[i]
-    return pd.DataFrame(
-        {
-            "user_id": cells["user_id"],
-            "order_day": cells["order_day"],
-            "request_day": cells["request_day"],
-            "excluded": excluded,
-        }
+def _dominated(cells: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """Per (order day, request day) cell of one user's block: rows of cells with no later
+    order day whose request is more than RECENT_DAYS before the cell's.
+
+    Within the block from a grid of its order days by its request days, summed along both; of
+    the user's blocks before it from their rows by request day.
+    """
+    orders, row = np.unique(cells["order_day"].to_numpy(), return_inverse=True)
+    days, slot = np.unique(cells["request_day"].to_numpy(), return_inverse=True)
+    grid = np.zeros((len(orders) + 1, len(days) + 1), dtype="int64")
+    np.add.at(grid, (row + 1, slot + 1), cells["n"].to_numpy())
+    grid = grid.cumsum(axis=0).cumsum(axis=1)
+    limit = cells["request_day"].to_numpy() - RECENT_DAYS
+    excluded = grid[row + 1, np.searchsorted(days, limit, side="left")]
+    before = before.sort_values("day")
+    total = np.append(0, before["rows"].to_numpy().cumsum())
+    excluded = excluded + total[np.searchsorted(before["day"].to_numpy(), limit, side="left")]
+    return cells[["user_id", "order_day", "request_day"]].assign(excluded=excluded)
+
+
+def excluded_by_cell(cells: DataFrame, min_cells: int = MIN_BLOCK_CELLS, span: int = BLOCK_DAYS) -> DataFrame:
+    """user_id, order_day, request_day and excluded: rows earlier in the walk whose request is
+    more than RECENT_DAYS before the cell's.
+
+    cells: user_id, order_day, request_day (whole numbers), n. A row with such a request and
+    an order no later is earlier in the walk, so this counts dominated rows. Users with over
+    `min_cells` cells are cut into blocks of `span` order days. A block gets, for each request day,
+    the rows of the blocks before it: as many as there are request days, however many
+    rows the user has. So a group is a block, never a user.
+    """
+    user_type = dict(cells.dtypes)["user_id"]
+    counts = cells.groupBy("user_id").agg(F.count(F.lit(1)).alias("_cells"))
+    # The size of the stored table decides the join.
+    large = durable(counts.where(F.col("_cells") > min_cells).select("user_id", F.lit(True).alias("_large")))
+    block = F.when(F.col("_large"), F.floor(F.col("order_day") / span)).otherwise(F.lit(0)).cast("bigint")
+    cut = cells.join(large, "user_id", "left").withColumn("_block", block)
+    daily = cut.where("_large").groupBy("user_id", "_block", "request_day").agg(F.sum("n").alias("n"))
+    last = daily.groupBy("user_id").agg(F.max("_block").alias("_last"))
+    # Running rows of a request day hold from the block behind one until the next that adds some.
+    by_day = Window.partitionBy("user_id", "request_day").orderBy("_block")
+    upto = F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = daily.select("user_id", "request_day", "_block", upto.alias("n"), F.lead("_block").over(by_day).alias("_next"))
+    runs = runs.join(last, "user_id").withColumn("_until", F.coalesce("_next", "_last"))
+    behind = F.explode(F.sequence(F.col("_block") + 1, F.col("_until")))
+    carried = runs.where("_until > _block").select(
+        F.col("user_id").alias("_user"), F.col("request_day").alias("day"), F.col("n").alias("rows"), behind.alias("_behind")
     )
 
+    def count(own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({c: [] for c in ("user_id", "order_day", "request_day", "excluded")})
+        return _dominated(own, before)
+
+    left = cut.select("user_id", "_block", "order_day", "request_day", "n").groupBy("user_id", "_block")
+    right = carried.groupBy("_user", "_behind")
+    schema = f"user_id {user_type}, order_day bigint, request_day bigint, excluded bigint"
+    return left.cogroup(right).applyInPandas(count, schema)
+
 
 def _late_or_early(rows: DataFrame):
     lag = F.datediff("return_request_date", "order_date")
@@ -115,9 +155,8 @@ def return_state(
 
     When every request follows its order within 30 days, a return requested more
     than 30 days ago also comes earlier in the walk, so a count by request date
-    gives the middle column. Users with other lags are counted by day cells; a
-    user has at most (days x days) cells whatever the row count. `check_lags`
-    looks for such users first.
+    gives the middle column. Users with other lags are counted by day cells, in
+    blocks of order days (`excluded_by_cell`). `check_lags` looks for such users first.
     """
     walk = Timeline.of(rows, ["user_id"], WALK_ORDER, WALK_CUT, hot)
     walk = walk.before(sums={"total_returns_at_time": F.lit(1).cast("bigint")})
@@ -137,12 +176,7 @@ def return_state(
                 "n",
             )
         )
-        user_type = dict(rows.dtypes)["user_id"]
-        by_cell = cells.groupBy("user_id").applyInPandas(
-            _excluded_by_cell,
-            f"user_id {user_type}, order_day bigint, request_day bigint, excluded bigint",
-        )
-        by_cell = by_cell.select(
+        by_cell = excluded_by_cell(cells).select(
             "user_id",
             F.date_from_unix_date(F.col("order_day").cast("int")).alias("order_date"),
             F.date_from_unix_date(F.col("request_day").cast("int")).alias("return_request_date"),

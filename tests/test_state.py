@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from parcelwise.operators.scale import hot_keys
-from parcelwise.operators.state import as_of_state, gap_chain, return_state
+from parcelwise.operators.state import as_of_state, excluded_by_cell, gap_chain, return_state
 
 START = date(2024, 1, 1)
 
@@ -55,6 +55,40 @@ def test_return_state(spark, lags, split):
     assert collected(return_state(df, hot)) == brute(rows)
 
 
+def brute_excluded(cells):
+    return {
+        (u, o, r): sum(m for v, p, q, m in cells if v == u and (p, q) < (o, r) and r - q > 30)
+        for u, o, r, _ in cells
+    }
+
+
+@pytest.mark.parametrize("min_cells,span", [(20_000, 32), (40, 32), (0, 1), (0, 7), (0, 10_000)])
+def test_excluded_cells_of_any_blocks(spark, min_cells, span):
+    """Users above and below the limit, requests before and long after orders, days below zero."""
+    rng = np.random.default_rng(8)
+    cells = {}
+    for _ in range(700):
+        o = int(rng.integers(-40, 160))
+        cells[(int(rng.integers(1, 5)) if rng.random() < 0.5 else 9, o, o + int(rng.integers(-20, 120)))] = int(rng.integers(1, 6))
+    cells = [(*k, n) for k, n in cells.items()] + [(7, 5, 90, 2)]
+    df = spark.createDataFrame(cells, "user_id long, order_day long, request_day long, n long")
+    got = {(r.user_id, r.order_day, r.request_day): r.excluded for r in excluded_by_cell(df, min_cells, span).collect()}
+    assert got == brute_excluded(cells)
+
+
+def test_a_user_of_a_million_cells(spark):
+    """One user's cells go to many groups, and the counts are those of a whole grid."""
+    cells = spark.range(1_000_000).selectExpr("1L user_id", "id div 1000 order_day", "id % 1000 request_day", "id % 7 + 1 n")
+    got = excluded_by_cell(cells).repartition(4).toPandas()
+    n = (np.arange(1_000_000) % 7 + 1).reshape(1000, 1000).cumsum(0).cumsum(1)
+    want = np.zeros((1000, 1000), dtype="int64")
+    want[:, 31:] = n[:, :-31]
+    assert len(got) == 1_000_000
+    assert (got["excluded"].to_numpy() == want[got["order_day"], got["request_day"]]).all()
+    groups = cells.selectExpr("order_day div 32 AS b").distinct().count()
+    assert groups > 30
+
+
 def test_as_of_counts_the_same_day_and_falls_back(spark):
     orders = spark.createDataFrame(
         [(1, day(0), 10.0), (1, day(5), 20.5), (1, day(5), 1.25), (1, day(9), 7.0), (2, day(50), 5.0)],
