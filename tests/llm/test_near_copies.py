@@ -66,6 +66,30 @@ def test_large_clusters(spark):
     assert near_copies.near_copies(docs, bits=60).where("doc_id = component_id").count() == 1
 
 
+def test_a_cluster_of_unlike_copies(spark):
+    """800 copies of one text with 1 to 60 words changed, most pairs too unlike to be linked: few pairs
+    are verified, and the groups are those of a plain comparison."""
+    rng = random.Random(9)
+    own = " ".join(f"v{rng.randrange(5000)}" for _ in range(150))
+    texts = [own] + [edited(own, rng.choice((1, 2, 4, 6, 12, 20)), rng) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    label, front, seen = {}, [], set()
+    for k in range(len(sets)):
+        if k in seen:
+            continue
+        front, seen = [k], seen | {k}
+        while front:
+            a = front.pop()
+            label[a] = k
+            near = [b for b in range(len(sets)) if b not in seen and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            seen.update(near)
+            front += near
+    wrong = sum(got[k] != label[k] for k in label)
+    assert len(set(label.values())) > 50 and wrong <= 0.02 * len(label)
+
+
 def test_edges(spark):
     got = near_copies.near_copies(rows(spark)).collect()
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id in (1, 5)} == {1}
