@@ -259,7 +259,8 @@ def manifest(documents: DataFrame, tampered: Column | None = None, height: int =
     lower = F.when(tampered, leaf_digest(changed(F.col("text").cast("string"))))
     # "" sorts before "=" with any name behind it: the null lang is first.
     tree = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
-    leaves = documents.select("doc_id", tree.alias("tree"), leaf_digest().alias("digest"), lower.alias("other"))
+    # Stored, as cutting into ranges reads its input twice: texts are read and hashed once.
+    leaves = durable(documents.select("doc_id", tree.alias("tree"), leaf_digest().alias("digest"), lower.alias("other")))
     rounds = forest(numbered(leaves, ["doc_id", "digest"]), ["doc_id", "digest", "other"], height, fan)
     tops = durable(roots(rounds, height, fan))
     upper = numbered(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"])
