@@ -88,26 +88,40 @@ def cut(text: str) -> list[tuple[str, list[str]]]:
     return [(x[0], x[1:]) for x in lines]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+class _Known(dict):
+    """Ids of chunks, found when first asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.find(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
     A chunk of Latin letters and punctuation behind them is two pre-tokens at most, which
-    go to the library's model at once. Other new chunks are encoded many at a time in one
-    string, parted by a mark with an id of its own; chunks with that mark or with white
-    space are encoded alone.
+    go to the library's model at once. Other new chunks are encoded as texts.
     """
 
-    GROUP = 4096
     PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.entries = entries
-        self.heads: dict[str, bytes] = {"": b""}
-        self.tails: dict[str, bytes] = {}
         self.line = np.array(self._ids("\n"), "<u4").tobytes()
         self.model = self.tokenizer.model
+        # Without a line break white space is dropped: a chunk's ids are the same with a space in front.
+        self.heads = _Known(lambda x: self._find("" if self.line else " ", x))
+        self.tails = _Known(lambda x: self._find(" ", x))
+        self.tails[""] = self._find(" ", "")
         self.marks: dict[str, bytes] = {"": b""}
         # The byte-level alphabet: printable bytes stand for themselves, others follow 255.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -122,7 +136,7 @@ class ChunkEncoder:
         if before and self.line:
             word = self.space + word
         ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return (_PACK[len(ids)] if len(ids) < len(_PACK) else struct.Struct(f"<{len(ids)}I").pack)(*ids)
 
     def _marks(self, marks: str) -> bytes:
         if marks not in self.marks:
@@ -132,45 +146,20 @@ class ChunkEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, known: dict[str, bytes], chunks: list[str], before: str, mark: str, between: str) -> None:
-        """Add the ids of `before + chunk` for each chunk to `known`."""
-        (mark_id,) = self._ids(between[: len(between) - len(before)] if before else between)
-        plain = []
-        for x in chunks:
-            if simple := self.PLAIN.fullmatch(x):
-                known[x] = self._word(before, simple[1]) + self._marks(simple[2])
-            elif mark in x or x.split() != [x]:
-                known[x] = np.array(self._ids(before + x), "<u4").tobytes()
-            else:
-                plain.append(x)
-        for i in range(0, len(plain), self.GROUP):
-            some = plain[i : i + self.GROUP]
-            (found,) = self.tokenizer.encode_batch_fast([before + between.join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == mark_id).tolist() + [len(ids)]
-            data, start = ids.tobytes(), 0
-            for x, end in zip(some, ends, strict=True):
-                known[x] = data[4 * start : 4 * end]
-                start = end + 1
+    def _find(self, before: str, chunk: str) -> bytes:
+        """The ids of `before + chunk`."""
+        if simple := self.PLAIN.fullmatch(chunk):
+            return self._word(before, simple[1]) + self._marks(simple[2])
+        return np.array(self._ids(before + chunk), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.heads) + len(self.tails) > self.entries:
-            self.heads, self.tails, self.marks = {"": b""}, {}, {"": b""}
-        parts = [cut(x) for x in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for lines in parts:
-            for head, rest in lines:
-                heads.add(head)
-                tails.update(rest)
-        self._learn(self.tails, sorted(tails.difference(self.tails)), " ", "|", " | ")
-        if self.line:
-            self._learn(self.heads, sorted(heads.difference(self.heads)), "", "\n", "\n")
-        else:  # white space is dropped: a chunk's ids are the same without its space
-            self._learn(self.heads, sorted(heads.difference(self.heads)), " ", "|", " | ")
+            for known in (self.heads, self.tails, self.marks):
+                known.clear()
+            self.heads[""] = self.marks[""] = b""
         head_of, get = self.heads.__getitem__, self.tails.__getitem__
-        return [self.line.join([head_of(h) + b"".join(map(get, rest)) for h, rest in lines]) for lines in parts]
+        return [self.line.join([head_of(h) + b"".join(map(get, rest)) for h, rest in cut(x)]) for x in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
