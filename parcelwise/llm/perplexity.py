@@ -1,29 +1,30 @@
 """Quality rules with n-gram perplexity under a modified Kneser-Ney model.
 
-The model predicts the characters of a word, one after another, from up to three before
-them within the word and its boundary, for each language of its own. Characters are
-folded into SYMBOLS classes by a fixed rule, so a language has at most SYMBOLS ** 4
-n-grams however large the corpus: that bounds what is broadcast. Counts cover every word
-of every document. A document whose log perplexity lies outside its language's band, set
-by the quartiles over all documents, is rejected, and so is one that fails the base rules.
+The model predicts each character of a text's words, joined by single spaces, from the
+three before it, for each language of its own; contexts run across words. Characters are
+not folded, so the n-grams grow with the corpus. Spark counts them over every word of every
+document, derives continuation counts, discounts and probabilities level by level, and
+stores log probabilities as whole units of 2**-32, so sums don't depend on their order.
+
+The FREQUENT most frequent n-grams at most, a fixed bound, go to the tasks as sorted arrays of
+hashes; a task adds them up in place. The others of a document are joined to the stored
+model. Both ways give the same sums. A document whose log perplexity lies outside its
+language's band, set by the quartiles over all documents, is rejected, and so is one that
+fails the base rules.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelwise.llm.common import BLOCK_CHARS, CACHE_ENTRIES, blocks, map_texts
+from parcelwise.llm.common import blocks, map_texts
 from parcelwise.session import durable
 
 ORDER = 4
-SYMBOLS = 64
-BITS = 6
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -31,140 +32,196 @@ MAX_REPEAT_PERCENT = 30
 MARKS = "#*$%&|<>"
 #: A band reaches so many interquartile ranges of its language beyond the quartiles.
 BAND_RANGES = 4.0
-#: N-grams broadcast at once; the languages are scored in groups of no more, or one alone.
-GROUP_ENTRIES = 20_000_000
-
-
-def symbol_table() -> np.ndarray:
-    """Code point to symbol. 0: word boundary; 1 to 26: letters a to z of either case; 27:
-    digits; 28 to 43: other ASCII; 44 to 63: all others, by the lower-case code point."""
-    points = np.arange(0x110000)
-    table = (44 + points % 20).astype(np.uint8)
-    for p in range(0x80, 0x600):
-        table[p] = 44 + ord(chr(p).lower()[0]) % 20
-    table[:0x80] = 28 + points[:0x80] % 16
-    table[ord("0") : ord("9") + 1] = 27
-    for first in ("a", "A"):
-        table[ord(first) : ord(first) + 26] = np.arange(1, 27)
-    table[ord(" ")] = 0
-    return table
-
-
-_table: np.ndarray | None = None
-
-
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 4-gram of each symbol of the words, end marks included, and its word."""
-    global _table
-    if _table is None:
-        _table = symbol_table()
-    text = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
-    s = _table[np.frombuffer(text, "<u4")].astype(np.int64)
-    pad = np.concatenate((np.zeros(ORDER - 1, np.int64), s))
-    code, open_ = np.zeros(len(s) - 1, np.int64), np.ones(len(s) - 1, bool)
-    for back in range(1, ORDER):
-        before = np.where(open_, pad[ORDER - back : ORDER - back + len(code)], 0)
-        code += before << (BITS * back)
-        open_ &= before > 0
-    word = np.cumsum(s[:-1] == 0) - 1
-    return code + s[1:], word
+#: N-grams that are broadcast at most; the rest is joined.
+FREQUENT = 1_000_000
+#: Stands before a text; no word holds it.
+START = "\n"
+#: Log probabilities are whole multiples of 1 / UNIT.
+UNIT = 2.0**32
+#: Quartiles are those of log perplexities in steps of 1 / STEPS.
+STEPS = 10_000
+#: Characters looked at together.
+SLICE = 1 << 20
+#: A symbol's number in a packed n-gram has so many bits.
+BITS = 16
+
+
+def lang_key(name: str = "lang") -> Column:
+    """A language as a string that is never null; null is a language of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+
+
+def symbols(words: list[bytes]) -> bytes:
+    """What the model predicts of a text, behind ORDER - 1 start marks."""
+    return START.encode() * (ORDER - 1) + b" ".join(words) + b" " if words else b""
+
+
+def points(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts).decode().encode("utf-32-le"), "<u4")
+
+
+def count_array(text: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The distinct n-grams of code points `text` that end in no start mark, and how often
+    each occurs. The symbols of a slice are numbered, so that an n-gram is one integer."""
+    found = np.unique(text)
+    if len(found) > 1 << BITS:  # a short slice can't hold so many
+        step = (1 << BITS) - ORDER
+        for at in range(0, len(text) - ORDER + 1, step):
+            yield from count_array(text[at : at + step + ORDER - 1])
+        return
+    number = np.searchsorted(found, text).astype(np.uint64)
+    size = len(text) - ORDER + 1
+    code = np.zeros(max(size, 0), np.uint64)
+    for i in range(ORDER):
+        code = (code << np.uint64(BITS)) | number[i : i + size]
+    keys, n = np.unique(code[text[ORDER - 1 :] != ord(START)], return_counts=True)
+    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(BITS)
+    spelt = found[((keys[:, None] >> shifts) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+    joined = spelt.astype("<u4").tobytes().decode("utf-32-le")
+    yield [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], n
 
 
 def count_grams(documents: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each 4-gram occurs in each language's words."""
+    """(lang, gram, n): how often each n-gram occurs in each language; lang is a lang_key."""
 
     def run(batches):
-        for rows, texts in blocks(batches, 4 * BLOCK_CHARS):
-            found: dict[str | None, Counter] = {}
+        for rows, texts in blocks(batches, 4 * SLICE):
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(rows.column("lang").to_pylist(), texts, strict=True):
-                found.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").split())
-            for lang, words in found.items():
-                if words:
-                    code, word = grams(list(words))
-                    times = np.fromiter(words.values(), np.int64, len(words))[word]
-                    keys, where = np.unique(code, return_inverse=True)
-                    n = np.bincount(where, times).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys), "n": pa.array(n)})
-
-    part = documents.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, gram long, n long")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
+                by_lang.setdefault(lang, []).append(symbols(text.encode().split()))
+            for lang, parts in by_lang.items():
+                for grams, n in count_array(points(parts)):
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(n, pa.int64())})
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more. Where the counts of
-    counts don't allow the estimate, a half of each step."""
-    n = [int((counts == i).sum()) for i in range(5)]
-    out = np.array([0.0, 0.5, 1.0, 1.5])
-    if n[1] and n[2]:
-        y = n[1] / (n[1] + 2 * n[2])
-        for i in (1, 2, 3):
-            if n[i]:
-                out[i] = min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i))
-    return out
+    part = documents.select(lang_key().alias("lang"), "text").mapInArrow(run, "lang string, gram string, n long")
+    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log probabilities and back-off weights in arrays sorted by packed n-gram."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        order = np.argsort(gram)
-        tables = [(gram[order], n[order].astype(np.float64))]
-        for k in range(ORDER - 1, 0, -1):  # continuation counts; raw ones behind a boundary
-            keys, counts = tables[-1]
-            low, where = np.unique(keys & ((1 << BITS * k) - 1), return_inverse=True)
-            kinds = np.bincount(where).astype(np.float64)
-            total = np.bincount(where, counts)
-            first = (low >> (BITS * (k - 1))) == 0 if k > 1 else np.zeros(len(low), bool)
-            tables.append((low, np.where(first, total, kinds)))
-        tables.reverse()
-        self.keys, self.logs, self.contexts, self.weights = [], [], [], []
-        for k, (keys, counts) in enumerate(tables, 1):
-            d = discounts(counts)[np.minimum(counts, 3).astype(int)]
-            context, where = np.unique(keys >> BITS, return_inverse=True)
-            total, held = np.bincount(where, counts), np.bincount(where, d)
-            weight = held / total
-            lower = np.full(len(keys), 1 / SYMBOLS) if k == 1 else self._lower(keys, k)
-            p = (counts - d) / total[where] + weight[where] * lower
-            self.keys.append(keys)
-            self.logs.append(np.log(p))
-            self.contexts.append(context)
-            self.weights.append(np.log(np.maximum(weight, 1e-12)))
-
-    def _lower(self, keys: np.ndarray, k: int) -> np.ndarray:
-        low = keys & ((1 << BITS * (k - 1)) - 1)
-        return np.exp(self.logs[k - 2][np.searchsorted(self.keys[k - 2], low)])
-
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """log p of the last symbol of each packed 4-gram."""
-        out, left = np.zeros(len(code)), np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            key = code[left] & ((1 << BITS * k) - 1)
-            at = np.minimum(np.searchsorted(self.keys[k - 1], key), len(self.keys[k - 1]) - 1)
-            hit = self.keys[k - 1][at] == key
-            out[left[hit]] += self.logs[k - 1][at[hit]]
-            left, key = left[~hit], key[~hit] >> BITS
-            if not len(left):
-                break
-            at = np.minimum(np.searchsorted(self.contexts[k - 1], key), len(self.contexts[k - 1]) - 1)
-            out[left] += np.where(self.contexts[k - 1][at] == key, self.weights[k - 1][at], 0.0)
-            if k == 1:
-                out[left] -= np.log(SYMBOLS)
-        return out
-
-    def words(self, words: list[bytes]) -> list[float]:
-        code, word = grams(words)
-        return np.bincount(word, self.score(code), len(words)).tolist()
+def continuations(grams: DataFrame, k: int) -> DataFrame:
+    """(lang, gram, n) of level k from level k + 1: how many different symbols stand before
+    an n-gram, or how often it occurs where it opens a text."""
+    low = F.substring("gram", 2, k)
+    found = grams.groupBy("lang", low.alias("gram")).agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
+    first = F.col("gram").startswith(START)
+    return found.select("lang", "gram", F.when(first, F.col("total")).otherwise(F.col("kinds")).alias("n"))
+
+
+def discounts(grams: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): modified Kneser-Ney discounts for counts 1, 2 and 3 or more.
+    Where the counts of counts don't allow the estimate, a half of each step."""
+    n = {i: F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)}
+    found = grams.groupBy("lang").agg(*[n[i].alias(f"n{i}") for i in n])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    known = (F.col("n1") > 0) & (F.col("n2") > 0)
+    out = []
+    for i in (1, 2, 3):
+        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        held = F.least(F.greatest(d, F.lit(0.0)), F.lit(float(i)))
+        out.append(F.when(known & (F.col(f"n{i}") > 0), held).otherwise(i - 0.5).alias(f"d{i}"))
+    return found.select("lang", *out)
+
+
+def probabilities(grams: DataFrame, k: int, lower: DataFrame | None) -> DataFrame:
+    """(lang, gram, n, p) of level k; lower is level k - 1, without one all symbols of the
+    language and one more are alike."""
+    context = F.substring("gram", 1, k - 1)
+    rows = grams.withColumn("context", context)
+    sums = rows.groupBy("lang", "context").agg(
+        F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"k{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("k3")
+    )
+    held = sum(F.col(f"d{i}") * F.col(f"k{i}") for i in (1, 2, 3))
+    sums = sums.join(discounts(grams), "lang").withColumn("weight", held / F.col("total"))
+    own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = rows.join(sums, ["lang", "context"]).withColumn("own", (F.col("n") - own) / F.col("total"))
+    if lower is None:
+        size = grams.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("low"))
+        rows = rows.join(size, "lang")
+    else:
+        rows = rows.withColumn("tail", F.substring("gram", 2, k - 1))
+        rows = rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low")), ["lang", "tail"])
+    return rows.select("lang", "gram", "n", (F.col("own") + F.col("weight") * F.col("low")).alias("p"))
 
 
 def train(documents: DataFrame) -> DataFrame:
-    """(lang, entries, model): a pickled Model for each language. A language's task holds at
-    most SYMBOLS ** ORDER rows."""
+    """(lang, gram, n, log_p) of every n-gram of the documents, a stored table; log_p counts
+    units of 1 / UNIT."""
+    levels = {ORDER: durable(count_grams(documents))}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = durable(continuations(levels[k + 1], k))
+    found = None
+    for k in range(1, ORDER + 1):
+        found = probabilities(levels[k], k, found)
+        if k < ORDER:
+            found = durable(found)
+    return durable(found.select("lang", "gram", "n", F.round(F.log("p") * UNIT).cast("long").alias("log_p")))
+
+
+def frequent(model: DataFrame, most: int | None = None) -> DataFrame:
+    """The most frequent n-grams of the model, `most` (FREQUENT) at most: those with a count
+    above a bound that a histogram in steps of an eighth of a power of two gives."""
+    most = FREQUENT if most is None else most
+    step = F.floor(F.log2("n") * 8)
+    above, bound = 0, None
+    for r in model.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        above += r["count"]
+        if above > most:
+            break
+        bound = r["step"]
+    return model.where(step >= bound) if bound is not None else model.limit(0)
+
+
+#: Odd multipliers of the symbols of an n-gram; their products add up to its hash.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def hashes(text: np.ndarray) -> np.ndarray:
+    """The hash of the n-gram at each place of `text` where one ends."""
+    size = len(text) - ORDER + 1
+    out = np.zeros(max(size, 0), np.uint64)
+    for i in range(ORDER):
+        out += (text[i : i + size].astype(np.uint64) + np.uint64(1)) * _MIX[i]
+    return out ^ (out >> np.uint64(32))
+
+
+def sorted_arrays(rows: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language the sorted hashes of its n-grams and their log_p. N-grams that share
+    a hash are left out: they are joined."""
+    out = {}
+    table = rows.to_pandas()
+    for lang, part in table.groupby("lang"):
+        code = hashes(points([g.encode() for g in part["gram"]]))[::ORDER]
+        keys, at, n = np.unique(code, return_index=True, return_counts=True)
+        out[lang] = keys[n == 1], part["log_p"].to_numpy(np.int64)[at[n == 1]]
+    return out
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
-        model = Model(rows["gram"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"lang": [key[0]], "entries": [len(rows)], "model": [pickle.dumps(model)]})
 
-    return count_grams(documents).groupBy("lang").applyInPandas(fit, "lang string, entries long, model binary")
+_NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def look_up(parts: list[bytes], keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list[dict[str, int]]]:
+    """For each part (`symbols` of a text): the sum of log_p over its n-grams found in the
+    arrays, and how often each of the others occurs."""
+    texts = [p.decode() for p in parts]
+    ends = np.cumsum([len(t) for t in texts])
+    whole = "".join(texts)
+    text = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    value = np.zeros(len(text) + 1, np.int64)  # one more, for reduceat
+    others: list[dict[str, int]] = [{} for _ in parts]
+    for at in range(0, len(text) - ORDER + 1, SLICE):
+        piece = text[at : at + SLICE + ORDER - 1]
+        h, real = hashes(piece), piece[ORDER - 1 :] != ord(START)
+        hit = np.zeros(len(h), bool)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = (keys[place] == h) & real
+            value[at + ORDER - 1 : at + ORDER - 1 + len(h)] = np.where(hit, logs[place], 0)
+        missed = np.flatnonzero(real & ~hit) + at
+        for i, of in zip(missed.tolist(), np.searchsorted(ends, missed + ORDER - 1, "right").tolist(), strict=True):
+            gram = whole[i : i + ORDER]
+            others[of][gram] = others[of].get(gram, 0) + 1
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    total = np.add.reduceat(value, starts) if len(parts) else np.zeros(0, np.int64)
+    return total, others
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -205,75 +262,39 @@ def base_rules(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
     )
 
 
-_cache: dict = {}
-
-
 def measure(documents: DataFrame) -> DataFrame:
-    """The base figures and log perplexity of every row, other columns kept."""
+    """doc_id, lang (a lang_key), the base figures and log perplexity of every row."""
     spark = documents.sparkSession
-    models = durable(train(documents))
-    groups: list[list] = []
-    room = 0
-    for r in models.select("lang", "entries").orderBy("lang").collect():
-        if r.entries > room:
-            groups.append([])
-            room = max(GROUP_ENTRIES, r.entries)
-        groups[-1].append(r.lang)
-        room -= r.entries
-
-    def scored(some: list, rows: DataFrame, others: bool) -> DataFrame:
-        chosen = models.where(_among(some)) if some else models.limit(0)
-        sent = spark.sparkContext.broadcast({r.lang: r.model for r in chosen.collect()})
-
-        def run(texts, columns):
-            if _cache.get("of") is not sent.value:
-                _cache.clear()
-                _cache["of"] = sent.value
-                _cache["models"] = {k: pickle.loads(v) for k, v in sent.value.items()}
-                _cache["words"] = {}
-            known = _cache["words"]
-            if sum(map(len, known.values())) > CACHE_ENTRIES:
-                known.clear()
-            langs = columns["_lang"].to_pylist()
-            split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-            new: dict = {}
-            for lang, words in zip(langs, split, strict=True):
-                new.setdefault(lang, set()).update(words)
-            for lang, words in new.items():
-                own = known.setdefault(lang, {})
-                fresh = sorted(words.difference(own))
-                if fresh:
-                    own.update(zip(fresh, _cache["models"][lang].words(fresh), strict=True))
-            base = [base_rules(t, w) for t, w in zip(texts, split, strict=True)]
-            total = [sum(map(known[lang].__getitem__, words)) for lang, words in zip(langs, split, strict=True)]
-            out = {"n_words": [len(w) for w in split]}
-            out |= dict(zip(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), map(list, zip(*base)), strict=True))
-            out = {k: pa.array(v, pa.int64()) for k, v in out.items()}
-            ppl = [-t / (b[0] + len(w)) if w else None for t, b, w in zip(total, base, split, strict=True)]
-            return out | {"log_ppl": pa.array(ppl, pa.float64())}
-
-        return map_texts(
-            rows,
-            run,
-            "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double",
-        )
-
-    rows = documents.withColumn("_lang", F.col("lang").cast("string"))
-    known = [x for g in groups for x in g]
-    if len(groups) <= 1:
-        return scored(known, rows, True)
-    out = [scored(g, rows.where(_among(g, "_lang")), False) for g in groups]
-    none = rows.where(~_among(known, "_lang"))  # languages without any word
-    whole = scored([], none, True)
-    for x in out:
-        whole = whole.unionByName(x)
-    return whole
-
-
-def _among(langs: list, name: str = "lang"):
-    """Null-safe membership."""
-    found = F.coalesce(F.col(name).isin([x for x in langs if x is not None]), F.lit(False))
-    return found | F.col(name).isNull() if None in langs else found
+    rows = documents.select("doc_id", lang_key().alias("lang"), "text")
+    model = train(documents)
+    sent = spark.sparkContext.broadcast(sorted_arrays(frequent(model).select("lang", "gram", "log_p").toArrow()))
+
+    def run(texts, columns):
+        split = [x.encode().split() for x in texts]
+        base = [base_rules(t, w) for t, w in zip(texts, split, strict=True)]
+        by_lang: dict[str, list[int]] = {}
+        for i, lang in enumerate(columns["lang"].to_pylist()):
+            if split[i]:
+                by_lang.setdefault(lang, []).append(i)
+        total, others = [0] * len(texts), [{}] * len(texts)
+        for lang, at in by_lang.items():
+            sums, rest = look_up([symbols(split[i]) for i in at], *sent.value.get(lang, _NONE))
+            for i, v, r in zip(at, sums.tolist(), rest, strict=True):
+                total[i], others[i] = v, r
+        out = {"n_words": [len(w) for w in split]}
+        out |= dict(zip(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), map(list, zip(*base)), strict=True))
+        out = {k: pa.array(v, pa.int64()) for k, v in (out | {"found": total}).items()}
+        return out | {"grams": pa.array([list(x) for x in others], pa.list_(pa.string())), "times": pa.array([list(x.values()) for x in others], pa.list_(pa.int64()))}
+
+    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, found long, grams array<string>, times array<long>"
+    found = durable(map_texts(rows, run, schema).withColumn("row", F.monotonically_increasing_id()))
+    each = found.select("row", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x"))
+    each = each.select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
+    joined = each.join(model.select("lang", "gram", "log_p"), ["lang", "gram"])
+    rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("rest"))
+    total = F.col("found") + F.coalesce(F.col("rest"), F.lit(0))
+    ppl = F.when(F.col("n_words") > 0, -total / UNIT / (F.col("word_chars") + F.col("n_words")))
+    return found.join(rest, "row", "left").withColumn("log_ppl", ppl).drop("row", "grams", "times", "found", "rest")
 
 
 def judge(documents: DataFrame, ranges: float = BAND_RANGES) -> DataFrame:
@@ -281,17 +302,19 @@ def judge(documents: DataFrame, ranges: float = BAND_RANGES) -> DataFrame:
 
     Null texts have no words and fail; a null lang is a language of its own; repeated rows
     each give a row; an empty table gives none. Bands come from the documents that pass
-    the base rules; a language without such documents has no band and rejects none.
+    the base rules; a language without such documents has no band and rejects none. Log
+    perplexities are held against a band in steps of 1 / STEPS; its edges are inside.
     """
-    found = durable(measure(documents.select("doc_id", "lang", "text")))
+    found = durable(measure(documents))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    marked = found.withColumn("base_failed", failed)
-    quartile = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
-    bands = marked.where("not base_failed").groupBy(F.col("_lang").alias("_of")).agg(quartile.alias("q"))
+    marked = found.withColumn("base_failed", failed).withColumn("step", F.round(F.col("log_ppl") * STEPS))
+    steps = marked.where("not base_failed").groupBy("lang", "step").count()
+    quartile = F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("count"))
+    bands = steps.groupBy("lang").agg(quartile.alias("q"))
     reach = F.lit(ranges) * (F.col("q")[1] - F.col("q")[0])
-    bands = bands.select("_of", (F.col("q")[0] - reach).alias("_low"), (F.col("q")[1] + reach).alias("_high"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return marked.join(bands, F.col("_lang").eqNullSafe(F.col("_of")), "left").select(
+    bands = bands.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    inside = F.coalesce(F.col("step").between(F.col("low"), F.col("high")), F.lit(True))
+    return marked.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"), "log_ppl",
     )

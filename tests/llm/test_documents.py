@@ -2,8 +2,10 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from edge import none, rows
@@ -138,50 +140,144 @@ def test_base_rules(data):
         assert (len(words), *perplexity.base_rules(t, words)) == plain_base(t)
 
 
-def test_grams_stay_in_words():
-    code, word = perplexity.grams([b"ab", b"c"])
-    pack = lambda *s: sum(x << 6 * i for i, x in enumerate(reversed(s)))
-    assert code.tolist() == [pack(0, 0, 0, 1), pack(0, 0, 1, 2), pack(0, 1, 2, 0), pack(0, 0, 0, 3), pack(0, 0, 3, 0)]
-    assert word.tolist() == [0, 0, 0, 1, 1]
+def plain_symbols(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return "\n\n\n" + " ".join(words) + " " if words else ""
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(2)
-    words = [bytes(rng.choice(list(b"abcde"), size=n)) for n in rng.integers(1, 7, 300)]
-    code, _ = perplexity.grams(words)
-    keys, n = np.unique(code, return_counts=True)
-    model = perplexity.Model(keys, n)
-    for context in [*np.unique(keys >> 6)[:40].tolist(), 60 << 12 | 61]:
-        total = np.exp(model.score(np.array([context << 6 | s for s in range(64)]))).sum()
-        assert math.isclose(total, 1, abs_tol=1e-6)
+def plain_grams(texts):
+    out = Counter()
+    for t in map(plain_symbols, texts):
+        out.update(t[i - 3 : i + 1] for i in range(3, len(t)))
+    return out
 
 
-def test_discounts():
-    counts = np.repeat([1, 2, 3, 4], [8, 4, 2, 1])
+def plain_model(texts):
+    """p(symbol | three before it) by the textbook recursion, for any symbol."""
+    levels = {4: plain_grams(texts)}
+    for k in (3, 2, 1):
+        levels[k] = Counter()
+        for gram, n in levels[k + 1].items():
+            levels[k][gram[1:]] += n if gram[1] == "\n" else 1
+    steps, by_context = {}, {}
+    for k, grams in levels.items():
+        n = [sum(c == i for c in grams.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        steps[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if y and n[i] else i - 0.5 for i in (1, 2, 3)]
+        for gram, c in grams.items():
+            by_context.setdefault((k, gram[:-1]), []).append(c)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        around = by_context.get((k, gram[:-1]))
+        if not around:
+            return p(gram[1:])
+        c, d = levels[k][gram], steps[k]
+        return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in around) * p(gram[1:])) / sum(around)
+
+    return p, levels
+
+
+def test_grams_are_counted(monkeypatch):
+    texts = ["ab c", "", "ab  ab\tab\n", "слово и слово 漢字漢字", "a\x00b \x00\x00\x00\x00 \U0001f600", "x" * 50]
+    text = perplexity.points([perplexity.symbols(t.encode().split()) for t in texts])
+    for bits in (16, 4):  # with four bits the slices are cut short
+        monkeypatch.setattr(perplexity, "BITS", bits)
+        got = Counter()
+        for grams, n in perplexity.count_array(text):
+            for gram, c in zip(grams, n.tolist(), strict=True):
+                got[gram] += c
+        assert got == plain_grams(texts)
+    assert not any(grams for grams, _ in perplexity.count_array(perplexity.points([])))
+
+
+def test_plain_model_is_a_distribution(data):
+    p, levels = plain_model([r["text"] for r in corpus(data) if r["lang"] == "fr"])
+    unseen = "\U0010ffff"
+    for context in ["", "e", " l", "les", "\n\n\n", "qzx"]:
+        assert math.isclose(sum(p(context + c) for c in [*levels[1], unseen]), 1, abs_tol=1e-9)
+
+
+def test_discounts(spark):
+    rows = [("a", "x", n) for n, times in zip([1, 2, 3, 4], [8, 4, 2, 1], strict=True) for _ in range(times)] + [("b", "x", 5)]
+    got = {r.lang: tuple(r)[1:] for r in perplexity.discounts(spark.createDataFrame(rows, "lang string, gram string, n long")).collect()}
     y = 8 / (8 + 2 * 4)
-    assert np.allclose(perplexity.discounts(counts), [0, 1 - 2 * y * 4 / 8, 2 - 3 * y * 2 / 4, 3 - 4 * y * 1 / 2])
-    assert perplexity.discounts(np.array([5])).tolist() == [0, 0.5, 1, 1.5]
+    assert np.allclose(got["a"], [1 - 2 * y * 4 / 8, 2 - 3 * y * 2 / 4, 3 - 4 * y * 1 / 2]) and got["b"] == (0.5, 1.5, 2.5)
 
 
 def test_judgement(spark, data, monkeypatch):
     documents = spark.read.parquet(f"{data}/documents.parquet")
     got = {r.doc_id: r for r in perplexity.judge(documents).collect()}
-    counts = {}
+    by_lang = {}
     for r in corpus(data):
-        code, _ = perplexity.grams(r["text"].encode().split())
-        for c in code.tolist():
-            counts.setdefault(r["lang"], {}).setdefault(c, 0)
-            counts[r["lang"]][c] += 1
-    models = {k: perplexity.Model(np.array(list(v)), np.array(list(v.values()))) for k, v in counts.items()}
+        by_lang.setdefault(r["lang"], []).append(r["text"])
+    models = {k: plain_model(v)[0] for k, v in by_lang.items()}
     for r in corpus(data):
-        own, base = got[r["doc_id"]], plain_base(r["text"])
+        own, base, t = got[r["doc_id"]], plain_base(r["text"]), plain_symbols(r["text"])
         assert tuple(own)[1:6] == base
         assert own.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
-        code, _ = perplexity.grams(r["text"].encode().split())
-        assert math.isclose(own.log_ppl, -models[r["lang"]].score(code).mean(), rel_tol=1e-9)
-    monkeypatch.setattr(perplexity, "GROUP_ENTRIES", 1)  # each language by itself
-    again = {r.doc_id: r.log_ppl for r in perplexity.judge(documents).collect()}
-    assert all(math.isclose(again[k], r.log_ppl, rel_tol=1e-9) for k, r in got.items())
+        want = [-math.log(models[r["lang"]](t[i - 3 : i + 1])) for i in range(3, len(t))]
+        assert math.isclose(own.log_ppl, sum(want) / len(want), rel_tol=1e-8)
+    passed = {}
+    for r in corpus(data):
+        if not got[r["doc_id"]].base_failed:
+            passed.setdefault(r["lang"], []).append(round(got[r["doc_id"]].log_ppl * 10_000))
+    for r in corpus(data):
+        own = got[r["doc_id"]]
+        low, high = np.quantile(passed[r["lang"]], [0.25, 0.75]) if r["lang"] in passed else (0, 0)
+        inside = low - 4 * (high - low) <= round(own.log_ppl * 10_000) <= high + 4 * (high - low)
+        assert own.kept == (not own.base_failed and inside)
+    for most in (0, 300):  # all n-grams joined, and nearly all
+        monkeypatch.setattr(perplexity, "FREQUENT", most)
+        assert {r.doc_id: r for r in perplexity.judge(documents).collect()} == got
+
+
+def test_look_up_in_slices(monkeypatch):
+    texts = ["the cat sat on the mat", "", "a mat", "слово " * 9]
+    parts = [perplexity.symbols(t.encode().split()) for t in texts]
+    grams = plain_grams(texts)
+    some = sorted(grams)[::2]
+    table = pa.table({"lang": ["="] * len(some), "gram": some, "log_p": list(range(1, len(some) + 1))})
+    keys, logs = perplexity.sorted_arrays(table)["="]
+    for size in (1 << 20, 5):
+        monkeypatch.setattr(perplexity, "SLICE", size)
+        sums, others = perplexity.look_up(parts, keys, logs)
+        for t, total, rest in zip(texts, sums.tolist(), others, strict=True):
+            own = plain_grams([t])
+            assert rest == {g: n for g, n in own.items() if g not in some}
+            assert total == sum(n * (some.index(g) + 1) for g, n in own.items() if g in some)
+
+
+def test_order_and_script_count(spark, data):
+    """Words in another order, and letters of other scripts in place of each other, are other texts."""
+    texts = [r["text"] for r in corpus(data) if r["lang"] == "en"]
+    words = " ".join(texts).split()[:200]
+    turned = " ".join(words[::-1])
+    ru = "вот дом и сад где рос дуб " * 8
+    rows = [(i, t, "en") for i, t in enumerate([*texts, " ".join(words), turned])] + [(900, ru, "ru"), (901, ru, "ru"), (902, ru.translate({x: x + 20 for x in range(0x430, 0x43C)}), "ru")]
+    got = {r.doc_id: r.log_ppl for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[len(texts)] != got[len(texts) + 1] and got[900] == got[901] != got[902]
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Twice the different texts give more n-grams; the broadcast part has its bound."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 400))) for _ in range(40)]
+    sizes = []
+    for n in (20, 40):
+        model = perplexity.train(spark.createDataFrame([(t, "zh") for t in texts[:n]], "text string, lang string"))
+        sizes.append(model.count())
+        assert perplexity.frequent(model, 100).count() <= 100
+    assert sizes[1] > 1.9 * sizes[0] > 10_000
+
+
+def test_edge_of_a_band_is_inside(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([(i, text, "en") for i in range(5)], "doc_id long, text string, lang string")
+    got = perplexity.judge(rows).collect()  # all alike: the band has no width
+    assert all(r.kept for r in got)
 
 
 def test_judgement_rejects_odd_text(spark, data):
