@@ -16,7 +16,9 @@ import hashlib
 import math
 import re
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import deque
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parcelwise.llm.common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens in a span at most, and tokens kept on each side of what started a window.
+#: Tokens in a span at most.
 MAX_TOKENS = 26
-MARGIN = 8
+#: Digits in a span without an `at` at most: those of the longest card number.
+MAX_DIGITS = 19
 #: Windows the field is trained on: at most so many documents for each
 #: of the STARTS give theirs.
 TRAIN_DOCUMENTS = 50
@@ -169,44 +172,78 @@ def features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
+def merged(spans) -> list[tuple[int, int]]:
+    """Stretches that spans cover, in order and apart; touching ones become one."""
+    out: list[list[int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(y, out[-1][1])
+        else:
+            out.append([x, y])
+    return [(x, y) for x, y in out]
+
+
+def candidates(text: str, start: int, end: int, taken=()):
+    """For each token of text[start:end], in order: where it begins and ends, and its candidate
+    segments as (tokens, end). At most MAX_TOKENS tokens are held at a time.
+
+    A segment has seven digits, an `at` or four groups of digits with dots; without an
+    `at` it has at most MAX_DIGITS digits. It reaches into no taken stretch.
+    """
+    source = _token.finditer(text, start, end)
+    ahead: deque = deque()  # (begin, end, sums up to the token's end)
+    before = last = (0, 0, 0, 0, 0)
+    at = 0
+    while True:
+        for m in islice(source, MAX_TOKENS - len(ahead)):
+            x, y = m.span()
+            c = text[x]
+            digit = c.isdigit()
+            last = (
+                last[0] + (y - x if digit else 0), last[1] + (c == "@" or text[x:y].lower() == "at"), last[2] + digit, last[3] + (c == "."), last[4] + c.isalpha()
+            )
+            ahead.append((x, y, last))
+        if not ahead:
+            return
+        a, stop_at, own = ahead[0]
+        found = []
+        if text[a].isalnum() or text[a] in "+(":
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            stop = taken[at][0] if at < len(taken) else math.inf
+            d0, d1, d2, d3, d4 = before
+            # Most places of a text have no segment at all.
+            some = last[1] > d1 or last[0] - d0 >= 7 or last[2] - d2 >= 4
+            for n, (_, b, sums) in enumerate(ahead if some else (), 1):
+                if stop < b:
+                    break
+                if sums[1] == d1:
+                    digits = sums[0] - d0
+                    if digits > MAX_DIGITS:
+                        continue
+                    if digits < 7 and (sums[2] - d2 != 4 or sums[3] - d3 != 3 or sums[4] != d4):
+                        continue
+                if not text[b - 1].isalnum():
+                    continue
+                found.append((n, b))
+        yield a, stop_at, found
+        before = own
+        ahead.popleft()
+
+
 class Candidates:
-    """The tokens of a window, its candidate segments and their features as numbers."""
+    """The tokens of a short window, its candidate segments and their features as numbers."""
 
     def __init__(self, text: str, start: int, end: int, names: dict[str, int], grow: bool, taken=()):
-        self.tokens = [(start + m.start(), start + m.end()) for m in _token.finditer(text[start:end])]
-        digits = np.cumsum([0] + [b - a if text[a].isdigit() else 0 for a, b in self.tokens])
-        ats = np.cumsum([0] + [text[a:b] == "@" or text[a:b].lower() == "at" for a, b in self.tokens])
-        groups, dots, letters = (np.cumsum([0] + [fits(text[a]) for a, _ in self.tokens]) for fits in (str.isdigit, ".".__eq__, str.isalpha))
+        self.tokens: list[tuple[int, int]] = []
         self.segments: list[tuple[int, int]] = []
-        rows: list[list[int]] = []
-        held: list[list[int]] = []  # what is taken, without overlaps
-        for x, y in sorted(taken):
-            if held and x <= held[-1][1]:
-                held[-1][1] = max(y, held[-1][1])
-            else:
-                held.append([x, y])
-        edge = lambda c: c.isalnum() or c in "+("
-        for i, (a, _) in enumerate(self.tokens):
-            if not edge(text[a]):
-                continue
-            at = bisect_right(held, a, key=lambda s: s[1])
-            stop = held[at][0] if at < len(held) else math.inf
-            for j in range(i, min(i + MAX_TOKENS, len(self.tokens))):
-                b = self.tokens[j][1]
-                if not text[b - 1].isalnum() or text[a] == "\n":
-                    continue
-                if digits[j + 1] - digits[i] < 7 and not ats[j + 1] - ats[i]:
-                    if (groups[j + 1] - groups[i], dots[j + 1] - dots[i], letters[j + 1] - letters[i]) != (4, 3, 0):
-                        continue
-                if stop < b:
-                    break
-                found = features(text, a, b)
-                self.segments.append((i, j + 1))
-                if grow:
-                    rows.append([names.setdefault(f, len(names)) for f in found])
-                else:
-                    rows.append([names[f] for f in found if f in names])
-        self.rows = rows
+        self.rows: list[list[int]] = []
+        for i, (a, stop, found) in enumerate(candidates(text, start, end, merged(taken))):
+            self.tokens.append((a, stop))
+            for n, b in found:
+                self.segments.append((i, i + n))
+                own = features(text, a, b)
+                self.rows.append([names.setdefault(f, len(names)) for f in own] if grow else [names[f] for f in own if f in names])
 
     def matrix(self, n: int) -> np.ndarray:
         out = np.zeros((len(self.rows), n))
@@ -227,35 +264,51 @@ class Field:
         self.names, self.weights = names, weights
 
     def best(self, text: str, start: int, end: int, taken=()) -> list[tuple[str, int, int]]:
-        """The best choice of added spans in a window."""
-        c = Candidates(text, start, end, self.names, False, taken)
-        if not c.segments:
-            return []
-        scores = np.stack([self.weights[r].sum(0) for r in c.rows]) + self.weights[-1] - MIN_SCORE
-        kind, top = scores.argmax(1).tolist(), scores.max(1).tolist()
-        by_end: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(c.segments):
-            if top[s] > 0:
-                by_end.setdefault(j, []).append(s)
-        total, pick = [0.0], [-1]
-        for j in range(1, len(c.tokens) + 1):
-            best, who = total[j - 1], -1
-            for s in by_end.get(j, ()):
-                v = total[c.segments[s][0]] + top[s]
-                if v > best:
-                    best, who = v, s
-            total.append(best)
-            pick.append(who)
-        out, j = [], len(c.tokens)
-        while j > 0:
-            s = pick[j]
-            if s < 0:
-                j -= 1
-            else:
-                i, stop = c.segments[s]
-                out.append((KINDS[kind[s]], c.tokens[i][0], c.tokens[stop - 1][1]))
-                j = i
-        return out[::-1]
+        """The best choice of added spans in a window of any length. taken: stretches in order
+        and apart.
+
+        Tokens pass one after another: of the segments only the best into each of the next
+        MAX_TOKENS ends is held. Where no held segment can be chosen any more, the spans so far
+        are settled and nothing before is kept.
+        """
+        out: list[tuple[str, int, int]] = []
+        opened: dict[int, tuple] = {}  # token end -> (total, token start, span)
+        picks: dict[int, tuple] = {}  # token end -> (token start, span) where a segment is best
+        total = 0.0
+        for i, (a, _, found) in enumerate(candidates(text, start, end, taken)):
+            total = self._close(i, total, opened, picks)
+            if not opened and picks:
+                out += _chain(picks, i)
+                picks.clear()
+            for n, b in found:
+                own = [self.names[f] for f in features(text, a, b) if f in self.names]
+                scores = self.weights[own].sum(0) + self.weights[-1] - MIN_SCORE
+                kind = int(scores.argmax())
+                value = total + float(scores[kind])
+                if scores[kind] > 0 and (i + n not in opened or value > opened[i + n][0]):
+                    opened[i + n] = value, i, (KINDS[kind], a, b)
+        for j in sorted(opened):
+            total = self._close(j, total, opened, picks)
+        return out + (_chain(picks, max(picks)) if picks else [])
+
+    @staticmethod
+    def _close(j: int, total: float, opened: dict[int, tuple], picks: dict[int, tuple]) -> float:
+        """The best total of the tokens before j, once all segments that end there are known."""
+        found = opened.pop(j, None)
+        if found and found[0] > total:
+            picks[j] = found[1:]
+            return found[0]
+        return total
+
+
+def _chain(picks: dict[int, tuple], j: int) -> list[tuple[str, int, int]]:
+    """The chosen spans up to token end j, in order."""
+    out = []
+    for k in sorted(picks, reverse=True):
+        if k <= j:
+            j, span = picks[k]
+            out.append(span)
+    return out[::-1]
 
 
 def _rewritten(kind: str, span: str) -> list[str]:
@@ -371,10 +424,11 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], lis
     """Base spans and added spans, each by kind as listed, then start."""
     base = base_spans(text)
     taken = [(a, b) for _, a, b in base]
+    held = merged(taken)
     added = []
     for a, b in windows(text, taken):
-        near = [(x, y) for x, y in taken if x < b and a < y]
-        added += field.best(text, a, b, near)
+        first, last = bisect_right(held, a, key=lambda s: s[1]), bisect_left(held, b, key=lambda s: s[0])
+        added += field.best(text, a, b, held[first:last])
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -438,3 +438,52 @@ def test_halves_of_short_texts_are_recognised():
     for _ in range(300):
         half, other, rest = ("".join(rng.choice(list("abcdefghij "), size=n)) for n in (23, 23, 60))
         assert np.intersect1d(winnow.winnow(half + other)[0], winnow.winnow(half + rest)[0]).size
+
+
+def plain_best(field, text, taken):
+    """All segments of a text at once, in a table over token ends."""
+    c = pii.Candidates(text, 0, len(text), field.names, False, taken)
+    total, pick = [0.0], [None]
+    for j in range(1, len(c.tokens) + 1):
+        best, who = total[-1], None
+        for (i, end), row in zip(c.segments, c.rows, strict=True):
+            if end == j:
+                scores = field.weights[row].sum(0) + field.weights[-1] - pii.MIN_SCORE
+                v = total[i] + float(scores.max())
+                if scores.max() > 0 and v > best:
+                    best, who = v, (i, pii.KINDS[int(scores.argmax())])
+        total.append(best)
+        pick.append(who)
+    out, j = [], len(c.tokens)
+    while j:
+        if pick[j] is None:
+            j -= 1
+        else:
+            i, kind = pick[j]
+            out.append((kind, c.tokens[i][0], c.tokens[j - 1][1]))
+            j = i
+    return out[::-1]
+
+
+def test_streamed_search_equals_a_whole_table(field):
+    rng = np.random.default_rng(4)
+    parts = ["jane at example dot com", "(555) 123-4567", "555-123-4567", "4111 - 1111 - 1111 - 1111", "8[.]8[.]8[.]8", "x", "12", "a@b.co", "jane (at) ex [dot] org", ",", "\n", "12345"]
+    found = 0
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, size=25))
+        taken = pii.merged((a, b) for _, a, b in pii.base_spans(text))
+        got = field.best(text, 0, len(text), taken)
+        assert got == plain_best(field, text, taken)
+        found += len(got)
+    assert found > 100
+
+
+def test_long_tables_of_numbers(field):
+    """One window of 240,000 characters: only the tokens ahead and open segments are held."""
+    rng = np.random.default_rng(6)
+    text = " ".join(map(str, rng.integers(10_000, 100_000, 40_000).tolist())) + " call (555) 123-4567 now"
+    widest = max(len(found) for _, _, found in pii.candidates(text, 0, len(text)))
+    assert widest <= pii.MAX_TOKENS
+    base, more = pii.find_spans(text, field)
+    at = text.index("(555)")
+    assert any(a < at + 14 and at < b for _, a, b in base + more)
