@@ -42,7 +42,7 @@ UNIT = 2.0**32
 STEPS = 10_000
 #: Characters looked at together.
 SLICE = 1 << 20
-#: A symbol's number in a packed n-gram has so many bits.
+#: A symbol's number in a packed n-gram has so many bits at most.
 BITS = 16
 
 
@@ -63,20 +63,24 @@ def points(parts: list[bytes]) -> np.ndarray:
 def count_array(text: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
     """The distinct n-grams of code points `text` that end in no start mark, and how often
     each occurs. The symbols of a slice are numbered, so that an n-gram is one integer."""
-    found = np.unique(text)
+    found = np.flatnonzero(np.bincount(text)) if len(text) else np.zeros(0, np.int64)
     if len(found) > 1 << BITS:  # a short slice can't hold so many
         step = (1 << BITS) - ORDER
         for at in range(0, len(text) - ORDER + 1, step):
             yield from count_array(text[at : at + step + ORDER - 1])
         return
-    number = np.searchsorted(found, text).astype(np.uint64)
+    bits = max(1, (len(found) - 1).bit_length())
+    kind = np.uint32 if bits * ORDER <= 32 else np.uint64
+    table = np.zeros(found[-1] + 1 if len(found) else 1, kind)
+    table[found] = np.arange(len(found), dtype=kind)
+    number = table[text]
     size = len(text) - ORDER + 1
-    code = np.zeros(max(size, 0), np.uint64)
+    code = np.zeros(max(size, 0), kind)
     for i in range(ORDER):
-        code = (code << np.uint64(BITS)) | number[i : i + size]
+        code = (code << kind(bits)) | number[i : i + size]
     keys, n = np.unique(code[text[ORDER - 1 :] != ord(START)], return_counts=True)
-    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(BITS)
-    spelt = found[((keys[:, None] >> shifts) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+    shifts = np.arange(ORDER - 1, -1, -1, dtype=kind) * kind(bits)
+    spelt = found[((keys[:, None] >> shifts) & kind((1 << bits) - 1)).astype(np.int64)]
     joined = spelt.astype("<u4").tobytes().decode("utf-32-le")
     yield [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], n
 
@@ -178,27 +182,44 @@ def hashes(text: np.ndarray) -> np.ndarray:
     """The hash of the n-gram at each place of `text` where one ends."""
     size = len(text) - ORDER + 1
     out = np.zeros(max(size, 0), np.uint64)
+    wide = text.astype(np.uint64) + np.uint64(1)
     for i in range(ORDER):
-        out += (text[i : i + size].astype(np.uint64) + np.uint64(1)) * _MIX[i]
+        out += wide[i : i + size] * _MIX[i]
     return out ^ (out >> np.uint64(32))
 
 
-def sorted_arrays(rows: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language the sorted hashes of its n-grams and their log_p. N-grams that share
-    a hash are left out: they are joined."""
+class SortedHashes:
+    """Sorted hashes, their log_p, and where the hashes of each leading bit pattern begin."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = np.append(keys, np.uint64(2**64 - 1)), np.append(logs, 0)
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.size = len(keys)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of hashes and whether they are known."""
+        place = self.first[(h >> self.shift).astype(np.int64)]
+        hit = self.keys[place] == h
+        rest = np.flatnonzero(~hit)
+        place[rest] = np.searchsorted(self.keys, h[rest])
+        hit[rest] = self.keys[place[rest]] == h[rest]
+        return place, hit & (place < self.size)
+
+
+def sorted_arrays(rows: pa.Table) -> dict[str, SortedHashes]:
+    """The arrays of each language. N-grams that share a hash are left out: they are joined."""
     out = {}
     table = rows.to_pandas()
     for lang, part in table.groupby("lang"):
         code = hashes(points([g.encode() for g in part["gram"]]))[::ORDER]
         keys, at, n = np.unique(code, return_index=True, return_counts=True)
-        out[lang] = keys[n == 1], part["log_p"].to_numpy(np.int64)[at[n == 1]]
+        out[lang] = SortedHashes(keys[n == 1], part["log_p"].to_numpy(np.int64)[at[n == 1]])
     return out
 
 
-_NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-
-def look_up(parts: list[bytes], keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list[dict[str, int]]]:
+def look_up(parts: list[bytes], known: SortedHashes | None) -> tuple[np.ndarray, list[dict[str, int]]]:
     """For each part (`symbols` of a text): the sum of log_p over its n-grams found in the
     arrays, and how often each of the others occurs."""
     texts = [p.decode() for p in parts]
@@ -211,10 +232,10 @@ def look_up(parts: list[bytes], keys: np.ndarray, logs: np.ndarray) -> tuple[np.
         piece = text[at : at + SLICE + ORDER - 1]
         h, real = hashes(piece), piece[ORDER - 1 :] != ord(START)
         hit = np.zeros(len(h), bool)
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = (keys[place] == h) & real
-            value[at + ORDER - 1 : at + ORDER - 1 + len(h)] = np.where(hit, logs[place], 0)
+        if known:
+            place, hit = known.find(h)
+            hit &= real
+            value[at + ORDER - 1 : at + ORDER - 1 + len(h)] = np.where(hit, known.logs[place], 0)
         missed = np.flatnonzero(real & ~hit) + at
         for i, of in zip(missed.tolist(), np.searchsorted(ends, missed + ORDER - 1, "right").tolist(), strict=True):
             gram = whole[i : i + ORDER]
@@ -278,7 +299,7 @@ def measure(documents: DataFrame) -> DataFrame:
                 by_lang.setdefault(lang, []).append(i)
         total, others = [0] * len(texts), [{}] * len(texts)
         for lang, at in by_lang.items():
-            sums, rest = look_up([symbols(split[i]) for i in at], *sent.value.get(lang, _NONE))
+            sums, rest = look_up([symbols(split[i]) for i in at], sent.value.get(lang))
             for i, v, r in zip(at, sums.tolist(), rest, strict=True):
                 total[i], others[i] = v, r
         out = {"n_words": [len(w) for w in split]}

@@ -240,10 +240,10 @@ def test_look_up_in_slices(monkeypatch):
     grams = plain_grams(texts)
     some = sorted(grams)[::2]
     table = pa.table({"lang": ["="] * len(some), "gram": some, "log_p": list(range(1, len(some) + 1))})
-    keys, logs = perplexity.sorted_arrays(table)["="]
+    known = perplexity.sorted_arrays(table)["="]
     for size in (1 << 20, 5):
         monkeypatch.setattr(perplexity, "SLICE", size)
-        sums, others = perplexity.look_up(parts, keys, logs)
+        sums, others = perplexity.look_up(parts, known)
         for t, total, rest in zip(texts, sums.tolist(), others, strict=True):
             own = plain_grams([t])
             assert rest == {g: n for g, n in own.items() if g not in some}
