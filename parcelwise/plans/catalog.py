@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -21,6 +22,7 @@ from parcelwise.operators.scale import hot_keys
 from parcelwise.sources import files, tables as scans
 from parcelwise.sources.mart import CATEGORIES, Mart, mart
 from parcelwise.sources.schema import DECISION_LOG
+from parcelwise.streaming import velocity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -189,6 +191,29 @@ _select(
 )
 _select("seller_repeat", "past_seller_returns", "seller_repeat_ratio")
 _select("velocity_features", "returns_last_30d", "returns_last_90d", "return_frequency_score")
+
+
+@query
+def velocity_stream(m):
+    """The velocity counts from a stream that gets the returns in three parts by date; the
+    days around a cut come twice."""
+    rows = durable(star_join(m.tables).select("return_id", "user_id", "return_request_date", "order_date"))
+    day = F.unix_date("return_request_date")
+    cuts = rows.agg(F.percentile_approx(day, [1 / 3, 2 / 3]).alias("q"), F.max(day).alias("last")).first()
+    source, history, checkpoint = (new_path(m.spark) for _ in range(3))
+    edges = [None, *(cuts["q"] or [0, 0]), None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.where(day > low - 3)
+        (part if high is None else part.where(day <= high)).write.mode("append").parquet(source)
+        if high is None:
+            closing = date(1970, 1, 1) + timedelta(days=(cuts["last"] or 0) + 30)
+            velocity.close_days(m.spark, source, closing.isoformat())
+        velocity.update_history(m.spark, source, history, checkpoint)
+    busy = hot_keys(rows, ["user_id", "return_request_date"])
+    told = velocity.velocity(rows, m.spark.read.parquet(history), busy)
+    return told.select("return_id", "returns_last_30d", "returns_last_90d", "return_frequency_score")
+
+
 _select("manual_verification", "requires_manual_verification")
 _select("full_features", *ALL_FEATURES, "target")
 

@@ -418,6 +418,7 @@ user_avg_order_value, order_value_ratio, is_high_value_return FROM m_features"""
 same_category_return_ratio, high_value_return_ratio FROM m_features""",
     "seller_repeat": "SELECT return_id, past_seller_returns, seller_repeat_ratio FROM m_features",
     "velocity_features": "SELECT return_id, returns_last_30d, returns_last_90d, return_frequency_score FROM m_features",
+    "velocity_stream": "SELECT return_id, returns_last_30d, returns_last_90d, return_frequency_score FROM m_features",
     "manual_verification": "SELECT return_id, requires_manual_verification FROM m_features",
     "full_features": f"SELECT return_id, {', '.join(ALL_FEATURES)}, target FROM m_features",
     "full_features_split": f"SELECT return_id, {', '.join(ALL_FEATURES)}, target FROM m_features",
