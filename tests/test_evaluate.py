@@ -118,6 +118,37 @@ def test_threshold_matches_plain_bisection(spark):
     assert got == pytest.approx((low + high) / 2, abs=1e-9)
 
 
+def test_histograms_of_parts_add_up(spark):
+    scores = [*np.random.default_rng(3).normal(1, 4, 900), -1e9, 1e9, float("inf"), float("-inf"), -20.0, 40.0]
+    df = spark.createDataFrame([(float(s), i) for i, s in enumerate(scores)] + [(None, 0), (float("nan"), 1)], "v double, i long")
+    parts = [scoring.score_moments(df.where(F.col("i") % 2 == k), "v", 0.9, -20.0, 40.0) for k in (0, 1)]
+    names = ["n", *[f"m{k}" for k in range(1, 7)]]
+    merged = parts[0].union(parts[1]).groupBy("bin").agg(*[F.sum(c).alias(c) for c in names])
+    whole = {r["bin"]: r for r in scoring.score_moments(df, "v", 0.9, -20.0, 40.0).collect()}
+    found = {r["bin"]: r for r in merged.collect()}
+    assert whole.keys() == found.keys() and sum(r["n"] for r in whole.values()) == len(scores)
+    for b, r in whole.items():
+        assert [found[b][c] for c in names] == pytest.approx([r[c] for c in names], abs=1e-12)
+
+
+@pytest.mark.parametrize("target", [0.001, 0.2, 0.4, 0.9])
+def test_threshold_with_far_scores(spark, target):
+    """The mean probability at the threshold is the target, scores far outside included."""
+    draw = np.random.default_rng(4)
+    scores = np.concatenate([draw.normal(2, 3, 400), draw.normal(0, 0.01, 300), [-500.0, 1e6, 5000.0]])
+    got = scoring.calibrate_threshold(spark.createDataFrame([(float(s),) for s in scores], "v double"), "v", target)
+    mean = (1 / (1 + np.exp(np.clip((got - scores) / 0.9, -50, 50)))).mean()
+    if target > 3 / len(scores):
+        assert mean == pytest.approx(target, abs=1e-11)
+    else:  # three scores above every threshold: none is high enough
+        assert got == pytest.approx(40.0, abs=1e-9)
+
+
+def test_no_scores(spark):
+    with pytest.raises(ValueError):
+        scoring.calibrate_threshold(spark.createDataFrame([(None,)], "v double"), "v")
+
+
 def test_seeded_draw_is_uniform_and_stable(spark):
     df = spark.range(20000).withColumn("u", scoring.seeded_uniform("id", 42))
     stats = df.agg(F.avg("u"), F.min("u"), F.max("u")).first()
