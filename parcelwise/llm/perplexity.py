@@ -112,7 +112,8 @@ def continuations(grams: DataFrame, k: int) -> DataFrame:
 
 def discounts(grams: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): modified Kneser-Ney discounts for counts 1, 2 and 3 or more.
-    Where the counts of counts don't allow the estimate, a half of each step."""
+    Where the counts of counts don't allow the estimate, a half of each step. Stored, so that
+    Spark sees its size and doesn't move n-grams by language to join it."""
     n = {i: F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)}
     found = grams.groupBy("lang").agg(*[n[i].alias(f"n{i}") for i in n])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -122,7 +123,7 @@ def discounts(grams: DataFrame) -> DataFrame:
         d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
         held = F.least(F.greatest(d, F.lit(0.0)), F.lit(float(i)))
         out.append(F.when(known & (F.col(f"n{i}") > 0), held).otherwise(i - 0.5).alias(f"d{i}"))
-    return found.select("lang", *out)
+    return durable(found.select("lang", *out))
 
 
 def probabilities(grams: DataFrame, k: int, lower: DataFrame | None) -> DataFrame:
@@ -138,7 +139,7 @@ def probabilities(grams: DataFrame, k: int, lower: DataFrame | None) -> DataFram
     own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = rows.join(sums, ["lang", "context"]).withColumn("own", (F.col("n") - own) / F.col("total"))
     if lower is None:
-        size = grams.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("low"))
+        size = durable(grams.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("low")))
         rows = rows.join(size, "lang")
     else:
         rows = rows.withColumn("tail", F.substring("gram", 2, k - 1))
@@ -333,7 +334,7 @@ def judge(documents: DataFrame, ranges: float = BAND_RANGES) -> DataFrame:
     quartile = F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("count"))
     bands = steps.groupBy("lang").agg(quartile.alias("q"))
     reach = F.lit(ranges) * (F.col("q")[1] - F.col("q")[0])
-    bands = bands.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    bands = durable(bands.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high")))
     inside = F.coalesce(F.col("step").between(F.col("low"), F.col("high")), F.lit(True))
     return marked.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
