@@ -20,7 +20,7 @@ from parcelwise.plans import backlog, triage
 from parcelwise.session import durable, new_path, small_table
 from parcelwise.operators.scale import hot_keys
 from parcelwise.sources import files, tables as scans
-from parcelwise.sources.mart import CATEGORIES, Mart, mart
+from parcelwise.sources.mart import CATEGORIES, EVIDENCE_MARKS, Mart, VERDICT_MARKS, mart
 from parcelwise.sources.schema import DECISION_LOG
 from parcelwise.streaming import velocity
 
@@ -714,6 +714,32 @@ def parse_evidence(m):
     return parsed.withColumn("red_flags", F.array_join("red_flags", "|")).drop("reply")
 
 
+def marked_turns(m: Mart, marks: list[str]) -> DataFrame:
+    """The conversations, with one of `marks` before or behind each whole text. The texts of the
+    tables hold none of their own."""
+    n = F.col("conv_id") * 7 + F.col("turn") * 3
+    mark = F.element_at(F.array(*map(F.lit, marks)), (n % len(marks) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    placed = F.when(n % 2 == 0, F.concat(mark, F.lit("\n"), text)).otherwise(F.concat(text, F.lit("\n"), mark))
+    return m.raw("conversations").select("conv_id", "turn", "role", placed.alias("text"))
+
+
+def no_turn(df: DataFrame) -> DataFrame:
+    """-1 for a turn that isn't there, so that both engines report whole numbers."""
+    return df.fillna(-1, [c for c in df.columns if c.endswith("_turn")])
+
+
+@query
+def conversation_verdicts(m):
+    return no_turn(texts.conversation_verdicts(marked_turns(m, VERDICT_MARKS)))
+
+
+@query
+def conversation_evidence(m):
+    found = texts.conversation_evidence(marked_turns(m, EVIDENCE_MARKS))
+    return no_turn(found.withColumn("red_flags", F.array_join("red_flags", "|")))
+
+
 # --- retrieval -----------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from parcelwise.config import (
 )
 from parcelwise.functions.columns import WHITESPACE
 from parcelwise.sources.mart import (
-    CATEGORIES, CATEGORY_OF_TYPE, FRAUD_TYPES, LABEL_THRESHOLD, LONG_WINDOW, REASONS, SELLER_TYPES,
+    CATEGORIES, CATEGORY_OF_TYPE, EVIDENCE_MARKS, FRAUD_TYPES, LABEL_THRESHOLD, LONG_WINDOW, REASONS, SELLER_TYPES, VERDICT_MARKS,
 )
 
 
@@ -627,6 +627,26 @@ SELECT return_id, CAST(CASE product_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 3 TH
   CASE product_id % 5 WHEN 0 THEN 'fits ' || return_id WHEN 1 THEN 'see: ' || return_id
     WHEN 2 THEN 'no structure for ' || return_id WHEN 3 THEN 'two' ELSE '' END AS assessment
 FROM m_requests""",
+    "conversation_verdicts": """
+SELECT conv_id, coalesce(arg_max(verdict, turn), 'Escalate') AS verdict, coalesce(max(turn) FILTER (verdict IS NOT NULL), -1) AS verdict_turn,
+  coalesce(arg_max(confidence, turn), 'Medium') AS confidence, coalesce(max(turn) FILTER (confidence IS NOT NULL), -1) AS confidence_turn
+FROM (SELECT conv_id, turn, CASE lower(regexp_extract(reply, '(?i)VERDICT:\\s*(Auto-Approve|Auto-Reject|Escalate)', 1))
+    WHEN 'auto-approve' THEN 'Auto-Approve' WHEN 'auto-reject' THEN 'Auto-Reject' WHEN 'escalate' THEN 'Escalate' END AS verdict,
+  CASE lower(regexp_extract(reply, '(?i)CONFIDENCE:\\s*(High|Medium|Low)', 1))
+    WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' END AS confidence FROM m_told_verdicts)
+GROUP BY 1""",
+    "conversation_evidence": f"""
+SELECT conv_id, CAST(coalesce(arg_max(digit, place), 3) {B} AS consistency_score, coalesce(max(turn) FILTER (digit IS NOT NULL), -1) AS consistency_score_turn,
+  coalesce(array_to_string(list_filter(list_transform(string_split(arg_max(flags, place), ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS red_flags,
+  coalesce(max(turn) FILTER (flags IS NOT NULL), -1) AS red_flags_turn,
+  arg_max(assessment, place) AS assessment, coalesce(max(turn) FILTER (assessment IS NOT NULL), -1) AS assessment_turn
+FROM (SELECT conv_id, turn, turn * 10000000 + i AS place,
+    CASE WHEN upper(line) LIKE 'CONSISTENCY:%' THEN TRY_CAST(left(trim(line[13:]), 1) {B} END AS digit,
+    CASE WHEN upper(line) LIKE 'RED_FLAGS:%' AND lower(trim(line[11:])) <> 'none' THEN trim(line[11:]) END AS flags,
+    CASE WHEN upper(line) LIKE 'ASSESSMENT:%' THEN trim(line[12:]) END AS assessment
+  FROM (SELECT conv_id, turn, unnest(range(len(lines))) AS i, trim(unnest(lines)) AS line
+    FROM (SELECT conv_id, turn, string_split(reply, chr(10)) AS lines FROM m_told_evidence)))
+GROUP BY 1""",
     "term_stats": f"SELECT term, CAST(df {B} AS df, round(idf, 6) AS idf FROM m_terms",
     "bm25_topk": "SELECT query_id, chunk_id, score, rank FROM m_bm25",
     "pruned_bm25_topk": "SELECT query_id, chunk_id, score, rank FROM m_bm25",
@@ -713,6 +733,12 @@ SELECT low + above * (high - low) / 64 AS low, low + (above + 1) * (high - low)
   SELECT count(*) AS above FROM (
     SELECT i, avg({_sigmoid('(fraud_score - (low + (high - low) * i / 64)) / ' + d(0.9))}) AS mean
     FROM m_scored, m_step{step - 1}, range(1, 64) AS r(i) GROUP BY 1) WHERE mean > {d(0.4)})"""
+for kind, marks in (("verdicts", VERDICT_MARKS), ("evidence", EVIDENCE_MARKS)):
+    listed = ", ".join("'" + x + "'" for x in marks)
+    CTES[f"m_told_{kind}"] = f"""
+SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN '' WHEN n % 2 = 0 THEN mark || chr(10) || text ELSE text || chr(10) || mark END AS reply
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, n, ([{listed}])[n % {len(marks)} + 1] AS mark
+  FROM (SELECT *, conv_id * 7 + turn * 3 AS n FROM conversations))"""
 CTES["m_daily"] = f"""
 SELECT user_id, product_id, return_request_date, CAST(count(*) {B} AS units FROM m_requests
 WHERE order_value > 10000 GROUP BY 1, 2, 3"""

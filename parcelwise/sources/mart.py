@@ -36,6 +36,15 @@ FRAUD_TYPES = [
 # Score level at which 40 % of the test returns count as fraud; found once with
 # operators.scoring.calibrate_threshold on the sf0.01 tables.
 LABEL_THRESHOLD = 3.3021
+#: Marks put into the conversations; unknown and missing ones among them.
+VERDICT_MARKS = [
+    "VERDICT: Auto-Approve\nCONFIDENCE: High", "so verdict:\tauto-reject.", "VERDICT: undecided", "CONFIDENCE: low",
+    "", "CONFIDENCE: none\nVERDICT: Escalate", "confidence:MEDIUM, verdict: auto-approve", "no verdict", "",
+]
+EVIDENCE_MARKS = [
+    "CONSISTENCY: 5\nRED_FLAGS: none\nASSESSMENT: fits", " consistency: 2 of 5\nred_flags: blur , ,reuse", "",
+    "CONSISTENCY: x\nRED_FLAGS: a\nRED_FLAGS: NONE", "ASSESSMENT: one\nassessment: two: three", "RED_FLAGS:", "CONSISTENCY: 4: 1",
+]
 
 
 def _ids(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
