@@ -83,3 +83,23 @@ def test_empty_source(spark, places):
     update_history(spark, *places)
     history = spark.createDataFrame([], "user_id long, day int, before_short long, before_long long")
     assert velocity(spark.createDataFrame([], ARRIVAL), history).count() == 0
+
+
+def test_many_users_share_few_states(spark, places):
+    """Users of one group, and returns of nobody, keep their own counts from batch to batch. The
+    state is called once a group and batch, not once a user."""
+    draw = random.Random(8)
+    users = [2**60 + 1, 2**60 + 2, *range(40)]
+    rows = []
+    for i in range(600):
+        day = START + timedelta(days=draw.randrange(300))
+        rows.append((f"r{i:03}", draw.choice([*users, None]), day, day))
+    rows.sort(key=lambda r: r[2])
+    for n, part in enumerate([rows[:200], rows[200:420], rows[420:]]):
+        arrive(spark, part, places[0])
+        if n == 2:
+            close_days(spark, places[0], "2025-06-01")
+        update_history(spark, *places, groups=2)
+    history = spark.read.parquet(places[1])
+    assert history.where("user_id is null").count() > 0
+    assert counts(velocity(spark.createDataFrame(rows, ARRIVAL), history)) == plain(rows)
