@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parcelwise.config import RetrievalParams
-from parcelwise.operators.retrieval import LexicalIndex, query_terms
+from parcelwise.operators.retrieval import LexicalIndex, posting_parts, query_terms
 from parcelwise.operators.scale import top_n
-from parcelwise.session import durable
+from parcelwise.session import durable, spread
 
 #: Chunks of a tile.
 TILE = 8
@@ -53,7 +53,8 @@ def build_tiles(index: LexicalIndex, params: RetrievalParams = RetrievalParams()
     """The tiles of an index. A range of chunks by length goes to one task, which packs them."""
     tf = F.col("tf").cast("double")
     norm = params.k1 * (1.0 - params.b + params.b * F.col("dl") / F.lit(float(index.mean_length)))
-    rows = index.postings.select("chunk_id", "dl", F.struct("term", (tf * (params.k1 + 1.0) / (tf + norm)).alias("impact")).alias("t"))
+    parts = posting_parts(index)
+    rows = spread(index.postings, parts, "chunk_id", "dl").select("chunk_id", "dl", F.struct("term", (tf * (params.k1 + 1.0) / (tf + norm)).alias("impact")).alias("t"))
     # One row for each chunk, as large as its text.
     chunks = durable(rows.groupBy("chunk_id", "dl").agg(F.sort_array(F.collect_list("t")).alias("terms")))
     kind = dict(chunks.dtypes)["chunk_id"]
@@ -84,7 +85,8 @@ def build_tiles(index: LexicalIndex, params: RetrievalParams = RetrievalParams()
         return pa.RecordBatch.from_arrays([*listed, *values], names)
 
     schema = f"chunks array<{kind}>, terms array<string>, ends binary, rows binary, impacts binary"
-    ordered = chunks.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id").drop("dl")
+    ranges = [parts] if parts else []
+    ordered = chunks.repartitionByRange(*ranges, "dl", "chunk_id").sortWithinPartitions("dl", "chunk_id").drop("dl")
     return TileIndex(index, durable(ordered.mapInArrow(pack, schema)), params)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from parcelwise.config import RetrievalParams
 from parcelwise.functions.columns import strip, tokens
 from parcelwise.operators.scale import top_n
-from parcelwise.session import durable, small_table
+from parcelwise.session import durable, parts_for, small_table, spread
 
 
 def chunk_documents(
@@ -91,6 +91,11 @@ def chunk_documents(
     )
 
 
+#: Characters of a task that counts terms, and postings of a task that scores or packs them, about.
+TASK_CHARS = 8_000_000
+TASK_POSTINGS = 500_000
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """postings(chunk_id, dl, term, tf), terms(term, df, idf), and corpus figures."""
@@ -101,11 +106,12 @@ class LexicalIndex:
     mean_length: float
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """Term counts per chunk; chunks: chunk_id, text."""
+def postings_of(chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """Term counts per chunk; chunks: chunk_id, text. parts: partitions, if not the session's own number."""
     # Texts are spread by chunk once; the counts then need no shuffle of their own.
-    spread = chunks.select("chunk_id", "text").repartition("chunk_id")
-    words = spread.select("chunk_id", tokens(F.col("text")).alias("words"))
+    texts = chunks.select("chunk_id", "text")
+    dealt = spread(texts, parts, "chunk_id") if parts else texts.repartition("chunk_id")
+    words = dealt.select("chunk_id", tokens(F.col("text")).alias("words"))
     return (
         words.select("chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
         .where(F.col("term").isNotNull())
@@ -133,8 +139,10 @@ def term_stats(postings: DataFrame, chunks: int, params: RetrievalParams = Retri
 
 def build_index(chunks: DataFrame, params: RetrievalParams = RetrievalParams()) -> LexicalIndex:
     """Store the index tables once; queries then read only what they need."""
-    postings = durable(postings_of(chunks))
-    count, words = chunks.count(), postings.agg(F.sum("tf")).first()[0]
+    count, chars = chunks.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    parts = parts_for(chunks.sparkSession, chars or 0, TASK_CHARS)
+    postings = durable(postings_of(chunks, parts))
+    words = postings.agg(F.sum("tf")).first()[0]
     terms = durable(term_stats(postings, count, params))
     return LexicalIndex(postings, terms, count, (words or 0) / count if count else 0.0)
 
@@ -155,6 +163,11 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     )
 
 
+def posting_parts(index: LexicalIndex) -> int | None:
+    """Partitions for shuffles of the postings by chunk."""
+    return parts_for(index.postings.sparkSession, index.postings.count(), TASK_POSTINGS)
+
+
 def query_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     """Query words with their counts and idf, stored so that Spark knows the size and
     picks the join with the postings accordingly."""
@@ -180,8 +193,14 @@ def bm25_topk(
     tf = F.col("tf").cast("double")
     norm = params.k1 * (1.0 - params.b + params.b * F.col("dl") / F.lit(float(index.mean_length)))
     gain = F.col("qtf") * F.col("idf") * (tf * (params.k1 + 1.0) / (tf + norm))
+    asked = query_terms(queries, index)
+    postings, parts = index.postings, posting_parts(index)
+    if parts:
+        # Postings move, and not the more numerous pairs of query and chunk.
+        named = postings.join(asked.select("term").distinct(), "term", "left_semi")
+        postings = spread(named, parts, "chunk_id")
     scored = (
-        index.postings.join(query_terms(queries, index), "term")
+        postings.join(asked, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(gain), 6).alias("score"))
     )
