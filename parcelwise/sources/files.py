@@ -33,7 +33,8 @@ def log_exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_decisions(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """Add records to a JSON-lines log. Its lines repeat much, so files are compressed."""
+    records.write.mode("append").option("compression", "gzip").json(path)
 
 
 def append_escalations(records: DataFrame, path: str) -> None:
