@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelwise.functions.columns import from_money, money
-from parcelwise.operators.scale import Timeline
+from parcelwise.operators.scale import LONE, Timeline
 from parcelwise.session import durable, spread
 
 WALK_ORDER = ["order_date", "return_request_date", "return_id"]
@@ -69,6 +69,10 @@ def as_of_state(requests: DataFrame, orders: DataFrame, parts: int | None = None
     asked, day = state.where("asked").drop("asked"), ["user_id", "return_request_date"]
     # A return names its day, so no user or missing user fills a partition.
     found = spread(requests, parts, *day).join(spread(asked, parts, *day), day, "left")
+    return _state_columns(found)
+
+
+def _state_columns(found: DataFrame) -> DataFrame:
     mean = F.coalesce("_fallback", F.lit(0.0))
     return found.withColumns(
         {
@@ -80,6 +84,34 @@ def as_of_state(requests: DataFrame, orders: DataFrame, parts: int | None = None
     ).drop("_orders", "_value_e4", "_fallback")
 
 
+def as_of_state_by_user(requests: DataFrame, orders: DataFrame, parts: int | None = None) -> DataFrame:
+    """`as_of_state` of requests that are dealt by user and LONE, as `return_state` leaves them, and stay so.
+
+    A user's order days come as one list, as long as the calendar at most, so the requests are not
+    shuffled again. For tables without hot users: a task holds all requests of a user.
+    """
+    by_user, day = ["user_id", LONE], F.col("return_request_date")
+    ordered = orders.where(F.col("user_id").isNotNull()).groupBy("user_id", F.col("order_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(money(F.col("order_value"))).alias("value_e4")
+    )
+    # Not a literal, or Spark would drop it from the keys.
+    ordered = ordered.withColumn(LONE, F.when(F.col("user_id").isNull(), F.lit("-")).otherwise(F.lit("")))
+    upto = Window.partitionBy(*by_user).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    state = F.struct("day", F.sum("orders").over(upto).alias("orders"), F.sum("value_e4").over(upto).alias("value_e4"))
+    days = spread(ordered, parts, *by_user).select(*by_user, state.alias("_state")).groupBy(*by_user).agg(
+        F.collect_list("_state").alias("_days")
+    )
+    own = Window.partitionBy(*by_user)
+    value = F.sum(money(F.col("order_value"))).over(own).cast("double")
+    fallback = value / (10000 * F.nullif(F.count("order_value").over(own), F.lit(0))).cast("double")
+    known = F.col("user_id").isNotNull() & day.isNotNull()
+    found = requests.withColumn("_fallback", F.when(known, fallback)).join(days, by_user, "left")
+    # Orders without a day count for every day; they come first, so the last day holds them.
+    past = F.filter("_days", lambda d: d["day"].isNull() | (d["day"] <= day))
+    found = found.withColumn("_last", F.when(known, F.array_max(past)))
+    return _state_columns(found.withColumns({"_orders": F.col("_last.orders"), "_value_e4": F.col("_last.value_e4")})).drop("_days", "_last")
+
+
 def _dominated(cells: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
     """Per (order day, request day) cell of one user's block: rows of cells with no later
     order day whose request is more than RECENT_DAYS before the cell's.
@@ -145,7 +177,8 @@ def _late_or_early(rows: DataFrame):
 
 
 def return_state(
-    rows: DataFrame, hot: DataFrame | None = None, check_lags: bool = True, parts: int | None = None
+    rows: DataFrame, hot: DataFrame | None = None, check_lags: bool = True, parts: int | None = None,
+    keep_lone: bool = False,
 ) -> DataFrame:
     """Add the returns a user made before each return, walking in order-date order.
 
@@ -158,12 +191,14 @@ def return_state(
     than 30 days ago also comes earlier in the walk, so a count by request date
     gives the middle column. Users with other lags are counted by day cells, in
     blocks of order days (`excluded_by_cell`). `check_lags` looks for such users first.
+    keep_lone: LONE stays, so that later joins by user and LONE take the rows where they are.
     """
     walk = Timeline.of(rows, ["user_id"], WALK_ORDER, WALK_CUT, hot, parts)
     walk = walk.before(sums={"total_returns_at_time": F.lit(1).cast("bigint")})
     walk = walk.before(sums={"seller_returns_at_time": F.lit(1).cast("bigint")}, within=["seller_id"])
     asked = Timeline.of(walk.df, ["user_id"], REQUEST_ORDER, REQUEST_CUT, hot)
-    out = asked.before(until={"_excluded": RECENT_DAYS + 1}).result()
+    asked = asked.before(until={"_excluded": RECENT_DAYS + 1})
+    out = asked.df if keep_lone and hot is None else asked.result()
     if check_lags and not _late_or_early(rows).isEmpty():
         users = _late_or_early(rows).select("user_id").distinct()
         cells = (

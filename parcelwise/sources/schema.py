@@ -68,6 +68,10 @@ DECISION_LOG = T.StructType(
 )
 
 
+#: A column of the returns that goes with them through the star join: their stored risk.
+RISK = "_risk_score"
+
+
 @dataclass(frozen=True)
 class Tables:
     """The stored tables every triage operator starts from. parts: partitions for shuffles of

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelwise.sources.schema import Tables
+from parcelwise.sources.schema import RISK, Tables
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low, high, parts: int) -> DataFrame:
@@ -40,6 +40,7 @@ def decode_returns(tables: Tables) -> DataFrame:
         "return_id", "order_id", "reason_category", "return_type", "image_uploaded",
         "return_request_date", "within_return_window", "days_left_to_return",
         "total_orders_at_time", "total_returns_at_time", "fraud_type", "label",
+        *[c for c in df.columns if c == RISK],
     )
 
 

@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from parcelwise.operators.scale import hot_keys
-from parcelwise.operators.state import as_of_state, excluded_by_cell, gap_chain, return_state
+from parcelwise.operators.scale import LONE, hot_keys, lone
+from parcelwise.operators.state import as_of_state, as_of_state_by_user, excluded_by_cell, gap_chain, return_state
 
 START = date(2024, 1, 1)
 
@@ -111,6 +111,20 @@ def test_as_of_counts_the_same_day_and_falls_back(spark):
     }
 
 
+def test_as_of_by_user_is_as_of(spark):
+    """With missing users, days and amounts, and repeated rows."""
+    rng = np.random.default_rng(2)
+    pick = lambda *some: some[rng.integers(len(some))]
+    days = [None, *map(day, range(0, 40, 3))]
+    orders = [(pick(None, 1, 2, 3), pick(*days), pick(None, 1.5, 7.25)) for _ in range(60)]
+    asked = [(f"r{i}", pick(None, 1, 2, 3, 4, 5), pick(*days), pick(None, 2.0, 3.5)) for i in range(80)]
+    orders = spark.createDataFrame(orders, "user_id long, order_date date, order_value double")
+    asked = spark.createDataFrame(asked + asked[:9], "return_id string, user_id long, return_request_date date, order_value double")
+    want = as_of_state(asked, orders)
+    got = as_of_state_by_user(asked.withColumn(LONE, lone(["user_id"], "return_id")), orders, 11).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_gap_chain_stops_at_the_end_date(spark):
     rows = [(1, i, day(0), 10) for i in range(5)] + [(2, i, day(100), 1) for i in range(3)]
     df = spark.createDataFrame(rows, "user_id long, n int, first date, gap int")
