@@ -1,12 +1,18 @@
 """Shuffles of whole tables take more tasks as data grows, with the same rows."""
 
 import os
+import random
 from datetime import date
 
-from parcelwise.operators import block_max, retrieval
+import pytest
+from pyspark.sql import functions as F
+
+from parcelwise.config import ALL_FEATURES, ModelParams
+from parcelwise.operators import block_max, ml, retrieval
 from parcelwise.operators.features import full_features
 from parcelwise.operators.state import as_of_state, return_state
-from parcelwise.session import parts_for
+from parcelwise.plans import catalog, triage
+from parcelwise.session import parts_for, spread
 from parcelwise.sources import files, mart as marts
 
 
@@ -20,6 +26,43 @@ def test_parts_follow_the_size(spark):
     assert parts_for(spark, 801, 100) == 9 and parts_for(spark, 80_000, 100) == 800
 
 
+def test_no_fewer_parts_than_the_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert parts_for(spark, 900, 100) == 40 and parts_for(spark, 80_000, 100) == 800
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_risk_comes_with_the_return(spark, data, tmp_path):
+    """Decided cases are those of a join by return_id, without that join unless an id repeats."""
+    m = marts.mart(spark, data)
+    rows = catalog.signals(m)
+    risk = m.scored.select("return_id", F.col("fraud_probability").alias("risk_score"))
+    want = triage.with_signals(catalog.ruled(m).join(risk, "return_id"), catalog.confidence(), catalog.bursts(m))
+    assert rows.columns == want.columns
+    plain = [c for c in rows.columns if c != "triggered_rules"]
+    assert m.risk_tables is not None and same(rows.select(plain), want.select(plain))
+    for name in ("lineitem", "orders", "part", "supplier"):
+        os.symlink(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
+    users = spark.read.parquet(f"{data}/customer.parquet")
+    users.union(users.limit(200)).write.parquet(str(tmp_path / "customer.parquet"))
+    assert marts.Mart(spark, str(tmp_path)).risk_tables is None
+
+
+def test_few_training_partitions(spark):
+    """Histograms are sent by no more partitions than there are cores."""
+    rng = random.Random(1)
+    rows = [(*(float(rng.random()) for _ in ALL_FEATURES), i % 2) for i in range(400)]
+    matrix = spark.createDataFrame(rows, [*ALL_FEATURES, "target"]).repartition(40)
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ml.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+        ml.train(matrix, ModelParams(rounds=1))
+    assert seen == [8]
+
+
 def test_tables_in_many_parts(spark, data, monkeypatch):
     """Orders that no return names are left out of the triage tables; states and features stay."""
     few = marts.Mart(spark, data)
@@ -34,6 +77,8 @@ def test_tables_in_many_parts(spark, data, monkeypatch):
     assert same(as_of_state(few.requests, few.orders), as_of_state(many.requests, many.orders, 20))
     want, got = full_features(few.tables), full_features(many.tables)
     assert got.columns == want.columns and got.rdd.getNumPartitions() == 20 and same(want, got)
+    plan = marts.scored_requests(many)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "hashpartitioning(user_id" in plan and "return_request_date" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
     hot = many.orders.select("user_id").distinct()
     assert same(want, full_features(many.tables, hot))
 
