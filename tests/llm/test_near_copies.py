@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from edge import none, rows
 
@@ -90,6 +92,39 @@ def test_a_cluster_of_unlike_copies(spark):
     assert len(set(label.values())) > 50 and wrong <= 0.02 * len(label)
 
 
+def found_pairs(prints, bits=30):
+    """Pairs that the first round makes of fingerprints (n rows of three words), before repeats go."""
+    prints = np.asarray(prints, np.uint64)
+    key = near_copies._keys(list(prints.T)).ravel()
+    node = np.repeat(np.arange(len(prints)), 192)
+    order = np.lexsort((node, key))
+    out = (prints.view("<u2")[:, :, None] >> np.arange(16, dtype=np.uint16) & 1).astype(bool).ravel()
+    columns = [key[order], node[order], *(prints[node[order], k].view(np.int64) for k in (0, 1)), node[order], out[order]]
+    batch = pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "node", "high", "low", "label", "out"])
+    return [p for b in near_copies._near(bits, False)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_a_near_pair_comes_once():
+    """300 copies a few bits apart make some pairs each, not one in each of 192 buckets."""
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    prints = np.repeat(own[None], 300, axis=0)
+    for row in prints:
+        for bit in rng.integers(0, 192, 4):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    pairs = found_pairs(np.unique(prints, axis=0))
+    assert {x for p in pairs for x in p} == set(range(len(np.unique(prints, axis=0)))) and len(pairs) < 10 * 300
+
+
+def test_each_print_with_a_near_one_is_found():
+    """The third is near the first and the second, which are far apart; they share all their buckets."""
+    own, one, two = (np.array(x, "<u2") for x in ([7] * 12, [7] * 12, [7] * 12))
+    one[1:8] ^= 0x000F << 4
+    two[1:8] ^= 0xF000
+    prints = np.stack([two.view("<u8"), one.view("<u8"), own.view("<u8")])
+    assert {x for p in found_pairs(prints) for x in p} == {0, 1, 2}
+
+
 def test_edges(spark):
     got = near_copies.near_copies(rows(spark)).collect()
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id in (1, 5)} == {1}
