@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edge import none, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parcelwise.llm import near_copies, simhash
@@ -92,6 +93,41 @@ def test_a_cluster_of_unlike_copies(spark):
     assert len(set(label.values())) > 50 and wrong <= 0.02 * len(label)
 
 
+def test_unlike_members_bring_no_square_of_pairs(spark, monkeypatch):
+    """300 copies of one text with four words changed are near by fingerprint and all unlike; some are alike by fewer
+    changes. Hardly more pairs than members are verified."""
+    rng, tried, plain = random.Random(10), [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *more: tried.append(pairs.count()) or plain(pairs, *more))
+    own = " ".join(f"v{rng.randrange(5000)}" for _ in range(150))
+    texts = [edited(own, 4, rng) for _ in range(300)] + [edited(own, 1, rng) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert len({got[k] for k in range(300, 305)}) == 1 and 0 < sum(tried) < 20 * 305
+
+
+def test_pairs_that_are_alike_are_never_left_out(spark):
+    """Also with more shingles than the counts hold, and one document's shingles all in the other."""
+    rng = random.Random(11)
+    texts = ["", "a", "a b"]
+    for n in (20, 200, 4000):
+        own = " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+        texts += [own, own[: len(own) * 9 // 10]] + [edited(own, max(1, n * k // 100), rng) for k in (1, 1, 2, 2, 4)]
+    docs = spark.createDataFrame([(k, t, f"c{k}") for k, t in enumerate(texts)], "h long, text string, name string")
+    nodes = docs.selectExpr("h as node", "text").withColumn("h", F.xxhash64("text")).toPandas()
+    nodes["copy"] = [near_copies.xxhash.xxh3_128_hexdigest(b" ".join(near_copies.words_of(t))) for t in nodes["text"]]
+    found = near_copies.shingle_sets(spark.createDataFrame(nodes[["node", "copy", "h"]]), docs.select("text"), 5)
+    table = found.toPandas().sort_values("node").reset_index(drop=True)
+    sets = [set(x) for x in table["parts"]]
+    assert len(sets) == len(texts) and [*table["size"]] == [len(s) for s in sets]
+    columns, alike, left_out = [table[c].to_numpy() for c in near_copies.SHARED], 0, 0
+    for a, b in combinations(range(1, len(texts)), 2):
+        may = near_copies._may_be_alike([c[[a]] for c in columns], [c[[b]] for c in columns], 0.8)[0]
+        is_alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        assert may or not is_alike
+        alike, left_out = alike + is_alike, left_out + (not may)
+    assert alike > 15 and left_out > 100
+
+
 def found_pairs(prints, bits=30):
     """Pairs that the first round makes of fingerprints (n rows of three words), before repeats go."""
     prints = np.asarray(prints, np.uint64)
