@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.config import ALL_FEATURES, ModelParams
-from parcelwise.operators import block_max, ml, retrieval
+from parcelwise.operators import block_max, ml, retrieval, scale
 from parcelwise.operators.features import full_features
 from parcelwise.operators.state import as_of_state, return_state
 from parcelwise.plans import catalog, triage
@@ -83,6 +83,18 @@ def test_tables_in_many_parts(spark, data, monkeypatch):
     assert same(want, full_features(many.tables, hot))
 
 
+def test_split_features_store_what_they_need(spark, data, monkeypatch):
+    """Marked rows are stored without columns that no feature is made of, and the features stay the same."""
+    stored, plain = [], scale.durable
+    monkeypatch.setattr(scale, "durable", lambda df: stored.append(df.columns) or plain(df))
+    m = marts.Mart(spark, data)
+    want = full_features(m.tables).select("return_id", *ALL_FEATURES, "target")
+    got = catalog.full_features_split(m)
+    wide = [c for c in stored if "_hot" in c]
+    assert len(wide) == 1 and {"order_id", "delivery_date", "fraud_type"}.isdisjoint(wide[0])
+    assert same(want, got)
+
+
 def test_orders_named_by_a_return_stay(spark, tmp_path, data, monkeypatch):
     """Of lines with one order_id, returned and not, both are orders of the return."""
     monkeypatch.setattr(marts, "TASK_LINES", 1)
