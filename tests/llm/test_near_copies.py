@@ -128,6 +128,31 @@ def test_pairs_that_are_alike_are_never_left_out(spark):
     assert alike > 15 and left_out > 100
 
 
+def test_groups_are_those_of_all_candidates(spark):
+    """Texts made from one another by changes of few words: also where the nearest fingerprints of two groups are unlike,
+    a pair further apart that is alike links them. Compared with a plain walk over all pairs that share a key."""
+    rng = random.Random(2)
+    made = [[f"v{rng.randrange(5000)}" for _ in range(60)]]
+    while len(made) < 250:
+        text = list(rng.choice(made))
+        for i in rng.sample(range(60), rng.choice((1, 1, 2, 3))):
+            text[i] = f"w{rng.randrange(60)}"
+        made.append(text)
+    texts = [" ".join(t) for t in made]
+    sets = [near_copies.shingles(near_copies.words_of(t)) for t in texts]
+    prints = np.stack([near_copies.fingerprint(s) for s in sets])
+    keys = [set(k) for k in near_copies._keys(list(prints.T)).tolist()]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        far = int(np.bitwise_count(prints[a, :2] ^ prints[b, :2]).sum())
+        if far <= 30 and keys[a] & keys[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == label
+
+
 def found_pairs(prints, bits=30):
     """Pairs that the first round makes of fingerprints (n rows of three words), before repeats go."""
     prints = np.asarray(prints, np.uint64)
