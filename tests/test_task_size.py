@@ -2,13 +2,14 @@
 
 import os
 import random
+from dataclasses import replace
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.config import ALL_FEATURES, ModelParams
-from parcelwise.operators import block_max, ml, retrieval, scale
+from parcelwise.operators import block_max, features, ml, retrieval, scale
 from parcelwise.operators.features import full_features
 from parcelwise.operators.state import as_of_state, return_state
 from parcelwise.plans import catalog, triage
@@ -95,6 +96,43 @@ def test_split_features_store_what_they_need(spark, data, monkeypatch):
     assert same(want, got)
 
 
+def test_stored_rows_hold_no_made_columns(spark, data, monkeypatch):
+    """Ids, draws and what the score tells are made where rows are read; the matrix is not stored beside the features."""
+    stored, plain = [], marts.durable
+    for module in (marts, catalog):
+        monkeypatch.setattr(module, "durable", lambda df: stored.append({*df.columns}) or plain(df))
+    m = marts.Mart(spark, data)
+    assert {"return_id", "order_id", "label_draw", "fraud_probability", "label"} < {*m.scored.columns}
+    found = catalog.matrix(m)
+    assert len(stored) > 4 and found.count() == m.returns.count()
+    for columns in stored:
+        assert {"order_id", "label_draw", "fraud_probability", "category_str"}.isdisjoint(columns)
+    assert not any({"fraud_score", "return_id"} <= columns for columns in stored)
+
+
+def test_sellers_join_as_they_are_stored(spark, data):
+    """Their size is known then, and returns need not be dealt by seller."""
+    m = marts.Mart(spark, data)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+        plan = full_features(m.tables).select("return_id", *ALL_FEATURES)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(seller_id" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_hot_users_that_the_table_lacks(spark, data):
+    """The mark comes with the user; histories are the same for users of whom nothing else is known."""
+    m = marts.Mart(spark, data)
+    tables = replace(m.tables, users=m.users.where("user_id % 3 > 0"))
+    columns = ["return_id", "user_id", *ALL_FEATURES, "target"]
+    hot = m.orders.select("user_id").distinct()
+    marked = features._star(tables, None, hot)
+    assert marked.where("_hot").count() == marked.count() > 0
+    assert same(full_features(tables).select(columns), full_features(tables, hot).select(columns))
+
+
 def test_orders_named_by_a_return_stay(spark, tmp_path, data, monkeypatch):
     """Of lines with one order_id, returned and not, both are orders of the return."""
     monkeypatch.setattr(marts, "TASK_LINES", 1)
